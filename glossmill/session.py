@@ -11,7 +11,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SHARED_KEY = "spark.checkpoint.dir"
 
@@ -65,6 +66,13 @@ def materialize_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, str, int]:
+    """As ``materialize_at``, also giving the number of rows, counted while they are written."""
+    seen = Observation()
+    out, path = materialize_at(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, path, seen.get["n"]
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing will read again."""
     jvm = spark._jvm
