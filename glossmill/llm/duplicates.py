@@ -3,8 +3,7 @@
 Records are the same when all compared columns agree, text columns without regard to letter case, blanks,
 punctuation and signs.  In a column of labelled fields (``name：value``) the order of the fields does not matter.
 
-Method: every compared column is brought to a canonical form inside the JVM, the forms are joined with their
-lengths and hashed to 128 bits (MD5), and copies are counted by that hash with map-side combining.  A second,
+Method: every compared column is brought to a canonical form inside the JVM, the forms are joined and hashed to 128 bits (MD5), and copies are counted by that hash with map-side combining.  A second,
 independent 64-bit hash travels along: where its minimum and maximum differ within one group, two different
 records collided, and exactly those groups are counted again by their full canonical text.
 
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossmill.functions.text import FORMATTING, without_formatting
+from glossmill.session import materialize
 
 #: Blanks of any kind, and signs nobody sees.
 _BLANK = r"(?U)[\s\p{Cf}\x{FE00}-\x{FE0F}]+"
@@ -47,16 +47,27 @@ def labelled_form(c: Column | str) -> Column:
     return F.when(many, ordered).otherwise(without_formatting(c))
 
 
+_CELL, _NULL = "\u0001", "\u0002"
+
+
 def _cell(c: Column) -> Column:
-    """Null as '-', else length and text, so that neighbouring cells can't run into each other."""
+    """A cell as text without the two signs that mark cell ends and nulls."""
     s = c.cast("string")
-    return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-"))
+    plain = F.when(s.contains(_CELL) | s.contains(_NULL), F.translate(s, _CELL + _NULL, "")).otherwise(s)
+    return F.coalesce(plain, F.lit(_NULL))
 
 
 def canonical(df: DataFrame, loose: list[str], exact: list[str], labelled: list[str]) -> Column:
-    """One canonical text per record from loosely, exactly and field-wise compared columns."""
-    cells = [without_formatting(F.col(c)) for c in loose] + [F.col(c) for c in exact] + [labelled_form(F.col(c)) for c in labelled]
-    return F.concat_ws("|", *[_cell(c) for c in cells])
+    """One canonical text per record from loosely, exactly and field-wise compared columns.
+
+    All loose columns go through one replacement: the signs between their cells survive it.
+    """
+    parts = []
+    if loose:
+        joined = F.concat_ws(_CELL, *[_cell(F.col(c)) for c in loose])
+        parts.append(F.lower(F.regexp_replace(joined, r"[^\p{L}\p{N}\x01\x02]+", "")))
+    parts += [_cell(F.col(c)) for c in exact] + [F.coalesce(labelled_form(F.col(c)), F.lit(_NULL)) for c in labelled]
+    return F.concat_ws(_CELL, *parts)
 
 
 def fingerprints(df: DataFrame, table_name: str, loose=(), exact=(), labelled=()) -> DataFrame:
@@ -71,37 +82,53 @@ def fingerprints(df: DataFrame, table_name: str, loose=(), exact=(), labelled=()
     )
 
 
-def copy_groups(prints: DataFrame) -> DataFrame:
-    """(table_name, h, part, kept_row, n_copies): one row per record.
-
-    ``part`` is '' but for collided hashes, where it is the canonical text.
-    """
-    groups = prints.groupBy("table_name", "h").agg(
+def hash_groups(slim: DataFrame) -> DataFrame:
+    """(table_name, h, kept_row, n_copies, lo, hi): copies counted by hash, combined map-side."""
+    return slim.groupBy("table_name", "h").agg(
         F.min("row_id").alias("kept_row"), F.count(F.lit(1)).alias("n_copies"), F.min("check").alias("lo"), F.max("check").alias("hi")
     )
+
+
+def resolve(groups: DataFrame, prints: DataFrame) -> DataFrame:
+    """(table_name, h, part, kept_row, n_copies): groups with collided hashes counted again by canonical text.
+
+    ``part`` is '' but for collided hashes, where it is the text.
+    """
     sound = groups.where(F.col("lo") == F.col("hi")).select("table_name", "h", F.lit("").alias("part"), "kept_row", "n_copies")
     collided = groups.where(F.col("lo") != F.col("hi")).select("table_name", "h")
     if collided.isEmpty():
         return sound
     apart = (
-        prints.join(F.broadcast(collided) if collided.count() < 10_000 else collided, ["table_name", "h"])
+        prints.join(collided, ["table_name", "h"])
         .groupBy("table_name", "h", F.col("text").alias("part"))
         .agg(F.min("row_id").alias("kept_row"), F.count(F.lit(1)).alias("n_copies"))
     )
     return sound.unionByName(apart)
 
 
+def slim_prints(prints: DataFrame) -> DataFrame:
+    """Hashes and row ids, computed once and written; texts stay where they are."""
+    return materialize(prints.select("table_name", "row_id", "h", "check"), "prints")
+
+
 def surplus_copies(prints: DataFrame) -> DataFrame:
     """(table_name, kept_row, copy_row): one row per record that another, smaller-numbered one stands for."""
-    groups = copy_groups(prints).where(F.col("n_copies") > 1)
-    found = prints.select("table_name", "row_id", "h", "text").join(groups.select("table_name", "h", "part", "kept_row"), ["table_name", "h"])
-    hit = (F.col("part") == "") | (F.col("part") == F.col("text"))
-    return found.where(hit & (F.col("row_id") > F.col("kept_row"))).select("table_name", "kept_row", F.col("row_id").alias("copy_row"))
+    slim = slim_prints(prints)
+    several = materialize(hash_groups(slim).where(F.col("n_copies") > 1), "copy-groups")
+    groups = resolve(several, prints).where(F.col("n_copies") > 1).select("table_name", "h", "part", "kept_row")
+    keys = ["table_name", "h"]
+    plain = slim.join(groups.where(F.col("part") == ""), keys)
+    split = groups.where(F.col("part") != "")
+    found = plain.select("table_name", "kept_row", "row_id")
+    if not split.isEmpty():
+        exact = prints.join(split, (prints["h"] == split["h"]) & (prints["text"] == split["part"]) & (prints["table_name"] == split["table_name"]))
+        found = found.unionByName(exact.select(prints["table_name"], split["kept_row"], prints["row_id"]))
+    return found.where(F.col("row_id") > F.col("kept_row")).select("table_name", "kept_row", F.col("row_id").alias("copy_row"))
 
 
 def collapse(prints: DataFrame) -> DataFrame:
     """(table_name, kept_row, n_copies): every distinct record once with its number of copies."""
-    return copy_groups(prints).select("table_name", "kept_row", "n_copies")
+    return resolve(hash_groups(slim_prints(prints)), prints).select("table_name", "kept_row", "n_copies")
 
 
 def compared_columns(df: DataFrame, leave_out: tuple[str, ...]) -> tuple[list[str], list[str]]:
