@@ -361,14 +361,14 @@ def leaked_stretches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = prepare([(r["item_id"], r["text"]) for r in block.collect()])
         if items is None:
             continue
-        part = texts.mapInPandas(_scanner(spark.sparkContext.broadcast(items)), schema)
+        part = texts.mapInPandas(_scanner(spark.sparkContext.broadcast(tuple(vars(items).values()))), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def _scanner(shared):
     def scan(batches):
-        items = shared.value
+        items = Items(*shared.value)
         overlap = 2 * max(len(s) for s in items.symbols)
         held: list[tuple[int, np.ndarray]] = []
         origin: list[tuple[int, np.ndarray]] = []  # document id and the character of each symbol

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import duplicates, lookalike, splits
+from glossmill.llm import duplicates, leakage, lookalike, packing, splits, truncation
 from glossmill.session import table
 
 EVIDENCE, AUTHOR = "evidence_predictions_release", "author_written_244"
@@ -48,6 +48,26 @@ def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(table(spark, sf_dir, AUTHOR), ["sentence", "span"])
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_containers(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p7_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_share(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -55,6 +75,11 @@ QUERIES = {
     "p4_records": p4_records,
     "p5_found": p5_found,
     "p5_consistent": p5_consistent,
+    "p6_containers": p6_containers,
+    "p7_found": p7_found,
+    "p7_removal_spans": p7_removal_spans,
+    "p8_found": p8_found,
+    "p8_source_share": p8_source_share,
 }
 
 ORACLES: dict[str, str] = {}
