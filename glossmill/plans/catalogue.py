@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glossmill.plans import core_problems
+from glossmill.plans import core_problems, rule_plans
 
-_MODULES = (core_problems,)
+_MODULES = (core_problems, rule_plans)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
-FLAGSHIP = "p2_orphan_report"
+FLAGSHIP = "rule_eval_by_family"
