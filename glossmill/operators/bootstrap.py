@@ -35,24 +35,27 @@ def group_cells(df: DataFrame, keys: list[str], group: str, gold: str = "gold",
     return a.unionByName(b).groupBy(*keys, group, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
 
 
-def hash_weight(replicate: Column, group: Column) -> Column:
-    """Poisson(1) weight of a group in a replicate, from the first 8 hex digits of a SHA-1."""
-    u = F.conv(F.substring(F.sha1(F.concat_ws("|", replicate.cast("string"), group)), 1, 8), 16, 10).cast("long") % 1000
-    w = F.lit(0)
-    for cut in POISSON_CUTS:
-        w = w + (u >= cut).cast("int")
-    return w
+def hash_weights(group: Column, draws: int) -> Column:
+    """Array of the Poisson(1) weights of a group in replicates 1..draws, from 8 hex digits of a SHA-1 each."""
+    us = F.transform(
+        F.sequence(F.lit(1), F.lit(draws)),
+        lambda r: F.conv(F.substring(F.sha1(F.concat_ws("|", r.cast("string"), group)), 1, 8), 16, 10).cast("long") % 1000,
+    )
+    return F.transform(us, lambda u: sum(((u >= cut).cast("int") for cut in POISSON_CUTS), F.lit(0)))
 
 
 def hash_replicates(cells: DataFrame, keys: list[str], group: str, draws: int) -> DataFrame:
-    """(keys, replicate, macro_f1, accuracy) for every draw."""
+    """(keys, replicate, macro_f1, accuracy) for every draw.
+
+    Weights are made once per group and replicate; the cells of a group (systems x labels) travel with it.
+    """
     labels = cells.where(F.col("support") > 0).select(*keys, "label").distinct()
+    per_group = cells.groupBy(group).agg(F.collect_list(F.struct(*keys, "label", "tp", "support", "predicted")).alias("_cells"))
+    drawn = per_group.select("_cells", F.posexplode(hash_weights(F.col(group), draws)).alias("_r", "w")).where(F.col("w") > 0)
     weighted = (
-        cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("w", hash_weight(F.col("replicate"), F.col(group)))
-        .where(F.col("w") > 0)
-        .groupBy(*keys, "replicate", "label")
-        .agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "support", "predicted")])
+        drawn.select((F.col("_r") + 1).alias("replicate"), "w", F.explode("_cells").alias("c"))
+        .groupBy(*[F.col(f"c.{k}").alias(k) for k in keys], "replicate", F.col("c.label").alias("label"))
+        .agg(*[F.sum(F.col(f"c.{c}") * F.col("w")).alias(c) for c in ("tp", "support", "predicted")])
     )
     totals = weighted.groupBy(*keys, "replicate").agg(ratio(F.sum("tp"), F.sum("support")).alias("accuracy"))
     size = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
