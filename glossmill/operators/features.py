@@ -42,9 +42,9 @@ def fit_text_classifier(train: DataFrame, text: str, label: str, numeric: list[s
     weights = class_weights(train, label).select(label, F.col("weight").alias("_w"))
     data = with_grams(train, text).join(F.broadcast(weights), label)
     model = (
-        LogisticRegression(featuresCol="features", labelCol="y", weightCol="_w", maxIter=60, regParam=1e-3)
+        LogisticRegression(featuresCol="features", labelCol="y", weightCol="_w", maxIter=25, regParam=1e-3)
         if kind == "lr"
-        else OneVsRest(classifier=LinearSVC(maxIter=60, regParam=1e-3), featuresCol="features", labelCol="y", weightCol="_w")
+        else OneVsRest(classifier=LinearSVC(maxIter=25, regParam=1e-3), featuresCol="features", labelCol="y", weightCol="_w")
     )
     stages = [
         StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip"), HashingTF(inputCol="grams", outputCol="tf", numFeatures=features),
