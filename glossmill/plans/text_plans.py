@@ -199,7 +199,7 @@ def forbidden_tokens(spark, d):
 def tfidf_char_weights(spark, d):
     a = base.candidates(spark, d).where(F.col("sentence").isNotNull())
     w = features.tfidf_weights(a, "row_id", "sentence", 2)
-    return w.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_grams"), F.max("weight").alias("top"), F.round(F.sum("weight"), 3).alias("total"))
+    return w.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_grams"), F.max("weight").alias("top"), F.sum(F.col("weight").cast("decimal(18,6)")).cast("double").alias("total"))
 
 
 def class_weights(spark, d):
@@ -334,7 +334,7 @@ ORACLES = {
     "tfidf_char_weights": f"""WITH {SQL_CANDIDATES}, d AS (SELECT row_id, sentence AS s FROM cand WHERE sentence IS NOT NULL), g AS (SELECT row_id, s[i:i+1] AS gram FROM (SELECT row_id, s, unnest(range(1, length(s))) AS i FROM d)),
         tf AS (SELECT row_id, gram, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
         r AS (SELECT row_id, gram, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + df)) + 1.0) AS w FROM tf JOIN df USING (gram)), q AS (SELECT row_id, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS w FROM r)
-        SELECT row_id, count(*) AS n_grams, max(round(w, 6)) AS top, round(sum(round(w, 6)), 3) AS total FROM q GROUP BY 1""",
+        SELECT row_id, count(*) AS n_grams, max(round(w, 6)) AS top, sum(round(w, 6)::DECIMAL(18, 6))::DOUBLE AS total FROM q GROUP BY 1""",
     "class_weights": f"""WITH {SQL_CANDIDATES}, c AS (SELECT gold, count(*) AS n FROM cand WHERE gold IS NOT NULL GROUP BY 1) SELECT gold, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n)::DOUBLE, 6) AS weight FROM c""",
     "embedding_centroids": """SELECT label, (i - 1)::INT AS dim, round(avg(embedding[i]::DOUBLE), 5) AS mean FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2""",
     "state_mix_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS state, count(*) AS n FROM events GROUP BY 1, 2",
