@@ -15,6 +15,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.linked_groups(table(spark, sf_dir, EVIDENCE))
 
 
+def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.record_blocks(table(spark, sf_dir, EVIDENCE))
+
+
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, EVIDENCE))
 
@@ -70,6 +74,7 @@ def p8_source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_blocks": p1_blocks,
     "p1_splits": p1_splits,
     "p4_found": p4_found,
     "p4_records": p4_records,
@@ -82,4 +87,44 @@ QUERIES = {
     "p8_source_share": p8_source_share,
 }
 
-ORACLES: dict[str, str] = {}
+def _bare(c: str) -> str:
+    return rf"lower(regexp_replace({c}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
+
+
+_SQL_LINKS = f"""k AS (SELECT row_id, {_bare('"编号"')} AS num, {_bare('sentence_group')} AS grp FROM {EVIDENCE}),
+    p AS (SELECT DISTINCT num, grp FROM k WHERE num <> '' AND regexp_full_match(grp, '[0-9a-f]{{16}}')),
+    h AS (SELECT num, min(grp) AS a FROM p GROUP BY 1 HAVING count(*) > 1),
+    e AS (SELECT DISTINCT a, grp AS b FROM p JOIN h USING (num) WHERE grp > a),
+    both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach AS (SELECT a AS v, a AS w FROM both_ways UNION SELECT r.v, b.b FROM reach r JOIN both_ways b ON b.a = r.w),
+    top AS (SELECT v, min(w) AS block_group FROM reach GROUP BY 1)"""
+
+_FROM, _TO = (x.replace("'", "''") for x in lookalike.mapping())
+_MAPPED = lambda c: f"nfc_normalize(translate({c}, '{_FROM}', '{_TO}'))"
+_PLAIN = lambda c: f"translate({c}, ' ' || chr(9) || chr(10) || chr(13), '')"
+
+_SAME = """row_number() OVER (PARTITION BY {keys} ORDER BY row_id) AS k, min(row_id) OVER (PARTITION BY {keys}) AS kept"""
+_EV_TEXT = ("task", "job_id", '"编号"', "sentence_group", "gold", "prediction", "response_model", "response_status")
+_EV_OTHER = (
+    "repeat", "confidence", "has_evidence_cues", "all_cues_grounded", "valid_output", "latency_seconds", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens", "completed_at",
+)
+_PIECES = rf"""list_filter(regexp_split_to_array(regexp_replace(sentence, '[\s\p{{Z}}\p{{Cf}}\x{{0085}}\x{{FE00}}-\x{{FE0F}}]+', '', 'g'), '[；;，,、|/。！!？?]+'),
+    lambda p: regexp_replace(p, '[^\p{{L}}\p{{N}}]+', '', 'g') <> '')"""
+_LABEL = r"'^[^\p{L}\p{N}]*[\p{L}\p{N}]{1,12}[：:].*$'"
+_SQL_SENTENCE = rf"""CASE WHEN len(list_filter({_PIECES}, lambda p: regexp_matches(p, {_LABEL}))) >= 2 THEN
+    (WITH j AS (SELECT string_split(array_to_string(list_transform({_PIECES}, lambda p: CASE WHEN regexp_matches(p, {_LABEL}) THEN chr(1) ELSE '' END || {_bare('p')}), ''), chr(1)) AS x)
+     SELECT x[1] || chr(1) || array_to_string(list_sort(x[2:]), chr(1)) FROM j) ELSE {_bare('sentence')} END"""
+
+_SQL_SPLITS = f"""{_SQL_LINKS}, n1 AS (SELECT num, min(grp) AS ng FROM p GROUP BY 1)
+    SELECT row_id, coalesce('g:' || coalesce(top.block_group, g), 'n:' || nullif(num, ''), 'r:' || row_id) AS block FROM (
+        SELECT k.row_id, k.num, coalesce(CASE WHEN regexp_full_match(k.grp, '[0-9a-f]{{16}}') THEN k.grp END, n1.ng) AS g FROM k LEFT JOIN n1 ON n1.num = k.num) q LEFT JOIN top ON top.v = q.g"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"WITH RECURSIVE {_SQL_LINKS} SELECT block_group, v AS sentence_group FROM top WHERE v > block_group",
+    "p1_blocks": f"WITH RECURSIVE {_SQL_SPLITS}",
+    "p4_found": f"""SELECT '{EVIDENCE}' AS table_name, kept AS kept_row, row_id AS copy_row FROM (SELECT row_id, {_SAME.format(keys=", ".join([_bare(c) for c in _EV_TEXT] + list(_EV_OTHER)))} FROM {EVIDENCE}) WHERE k > 1
+        UNION ALL SELECT '{AUTHOR}', kept, row_id FROM (SELECT row_id, {_SAME.format(keys="label, construction, span, gold, benchmark_label, canon")} FROM (SELECT *, {_SQL_SENTENCE} AS canon FROM {AUTHOR})) WHERE k > 1""",
+    "p5_found": f"""WITH s AS (SELECT row_id, {_PLAIN('sentence')} AS raw, {_PLAIN(_MAPPED('sentence'))} AS look FROM {AUTHOR} WHERE sentence IS NOT NULL)
+        SELECT 'sentence' AS field, a.row_id AS row_a, b.row_id AS row_b FROM s a JOIN s b ON a.look = b.look AND a.row_id < b.row_id AND a.raw <> b.raw
+        UNION ALL SELECT 'span', row_id, row_id FROM {AUTHOR} WHERE {_MAPPED('span')} <> '' AND NOT contains(sentence, span) AND contains({_MAPPED('sentence')}, {_MAPPED('span')})""",
+}
