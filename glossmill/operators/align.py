@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from glossmill.functions.text import ratio
+from glossmill.operators.ranking import top_with_margin
 
 CUE_LIMIT = 5_000
 
@@ -52,9 +52,8 @@ def page_scores(points: DataFrame, hits: DataFrame, navigation: Column | None =
 
 def top_page(scored: DataFrame) -> DataFrame:
     """(point, source, page_id, score, margin): best page, ties to the smaller page; a missing second counts 0."""
-    w = W.partitionBy("point").orderBy(F.desc("score"), F.asc("page_id"))
-    r = scored.withColumn("r", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    return r.where(F.col("r") == 1).select("point", "source", "page_id", "score", F.round(F.col("score") - F.col("second"), 3).alias("margin"))
+    best = top_with_margin(scored, ["point"], "score", [F.desc("score"), F.asc("page_id")])
+    return best.select("point", "source", "page_id", "score", F.round("margin", 3).alias("margin"))
 
 
 def classify(top: DataFrame) -> DataFrame:

@@ -81,13 +81,12 @@ def _risky(spark, d):
 
 def selective_review_budgets(spark, d):
     df = _risky(spark, d)
-    parts = [ranking.selective_review(df, ["model", "seed"], "risk", "row_id", "correct", b) for b in BUDGETS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return ranking.selective_review(df, ["model", "seed"], "risk", "row_id", "correct", BUDGETS)
 
 
 def review_queue(spark, d):
     q = ranking.review_queue(_risky(spark, d), ["model", "seed"], "risk", "row_id", 0.05)
-    return q.select("model", "seed", "row_id", "rank", "risk")
+    return q.select("model", "seed", "row_id", F.col("rank").cast("int").alias("rank"), "risk")
 
 
 def quota_topk_sample(spark, d):

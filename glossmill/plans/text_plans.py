@@ -61,10 +61,11 @@ def page_topic_hints(spark, d):
 
 
 def _fixes(spark, d):
+    """Corrections derived from the catalogue: families of points without status, and one label's spelling."""
     g = table(spark, d, "grammar_points_v0_1")
-    n = F.regexp_extract("grammar_point_id", r"_(\d+)$", 1).cast("int")
-    fam = g.where(n % 7 == 0).select(F.col("grammar_point_id").alias("key"), F.lit("family").alias("field"), F.col("family").alias("old"), F.lit("待核").alias("new"), F.lit(True).alias("verified"))
-    lab = g.where(n % 5 == 0).select(F.col("grammar_point_id").alias("key"), F.lit("canonical_label").alias("field"), F.lit("与其不如").alias("old"), F.lit("与其／不如").alias("new"), (n % 2 == 0).alias("verified"))
+    cell = lambda field, new, ok: [F.col("grammar_point_id").alias("key"), F.lit(field).alias("field"), F.col(field).alias("old"), F.lit(new).alias("new"), ok.alias("verified")]
+    fam = g.where(F.col("source_status").isNull()).select(*cell("family", "待核", F.lit(True)))
+    lab = g.where(F.col("canonical_label") == "与其不如").select(*cell("canonical_label", "与其／不如", F.col("source_status").isNotNull()))
     return g, fam.unionByName(lab)
 
 
@@ -131,7 +132,7 @@ def ocr_range_anchor(spark, d):
 
 
 def monotone_pages(spark, d):
-    """Earliest page not before the last one, per handbook, over the pages of every hundredth of the catalogue order."""
+    """Earliest page not before the last one, per handbook, for the catalogue in blocks of forty points."""
     a = table(spark, d, "standard_handbook_alignment_v3").select(
         F.col("handbook_source_id").alias("source"), (F.regexp_extract("standard_point_id", r"(\d+)$", 1).cast("int") / 40).cast("int").alias("ordinal"), F.expr("try_cast(primary_page AS INT)").alias("page")
     ).where(F.col("page").isNotNull())
@@ -253,9 +254,8 @@ _BARE = lambda c: rf"lower(regexp_replace({c}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 _TRIM = lambda c: rf"regexp_replace({c}, '^[\s\p{{Z}}\x{{0085}}]+|[\s\p{{Z}}\x{{0085}}]+$', '', 'g')"
 _UID = "'{p}' || upper(substr(sha256({x}), 1, 12))"
 _MARK = r"(?:[0-9]+[.．、)]|[（(][0-9]+[)）]|[①②③④⑤⑥⑦⑧⑨])"
-_N = "regexp_extract(grammar_point_id, '_(\\d+)$', 1)::INT"
-_FIXES = f"""g AS (SELECT *, {_N} AS n FROM grammar_points_v0_1), fx AS (SELECT grammar_point_id AS key, 'family' AS field, family AS old, '待核' AS new, true AS verified FROM g WHERE n % 7 = 0
-    UNION ALL SELECT grammar_point_id, 'canonical_label', '与其不如', '与其／不如', n % 2 = 0 FROM g WHERE n % 5 = 0)"""
+_FIXES = """g AS (SELECT * FROM grammar_points_v0_1), fx AS (SELECT grammar_point_id AS key, 'family' AS field, family AS old, '待核' AS new, true AS verified FROM g WHERE source_status IS NULL
+    UNION ALL SELECT grammar_point_id, 'canonical_label', canonical_label, '与其／不如', source_status IS NOT NULL FROM g WHERE canonical_label = '与其不如')"""
 _TESTS = """b AS (SELECT grammar_point_id, substr(canonical_label, 1, 2) AS literal FROM grammar_points_v0_1),
     c AS (SELECT grammar_point_id, literal, unnest([{'i': 1, 'c': 'positive', 't': literal || '甲乙丙'}, {'i': 2, 'c': 'boundary', 't': literal || repeat('甲', 60)}, {'i': 3, 'c': 'missing_slot', 't': literal},
         {'i': 4, 'c': 'confusable', 't': '近似形式'}, {'i': 5, 'c': 'semantic_incompatible', 't': literal || '※'}, {'i': 6, 'c': 'other_construction', 't': '别的句式'}, {'i': 7, 'c': 'uncertain', 't': ''}], recursive := true) FROM b),
