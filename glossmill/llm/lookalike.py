@@ -21,6 +21,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.session import materialize
+
 COLLATION = "UNICODE"
 
 #: Letters of other scripts and the Latin letters they can't be told from by eye.
@@ -107,19 +109,21 @@ def consistent(df: DataFrame, columns: list[str], key: str = "row_id") -> DataFr
 def lookalike_pairs(df: DataFrame, column: str, key: str = "row_id") -> DataFrame:
     """(row_a, row_b), row_a < row_b: rows whose texts look the same but differ beyond ordinary blanks.
 
-    Classes are formed over distinct texts; only classes that hold at least two different texts are kept, and the
-    rows of two texts meet only through such a pair of texts.
+    Classes are formed over distinct texts.  Different texts of one class are paired first, and rows join those pairs
+    by text, so no pair of rows is ever made that isn't a result, however many copies a text has.
     """
     rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("row"), without_blanks(F.col(column)).alias("plain"))
-    texts = rows.select("plain").distinct()
-    shaped = texts.select("plain", _collated(without_blanks(looks("plain"))).alias("look"))
+    rows = rows.select("row", F.unhex(F.md5("plain")).alias("h"), "plain")
+    texts = rows.groupBy("h").agg(F.min("plain").alias("plain"))
+    shaped = texts.select("h", _collated(without_blanks(looks("plain"))).alias("look"))
     mixed = shaped.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("look")
-    members = shaped.join(mixed, "look").select(F.xxhash64("plain").alias("th"), "plain", "look")
-    member_rows = rows.join(members, "plain").select("row", "plain", "look")
-    a = member_rows.select(F.col("row").alias("ra"), F.col("plain").alias("pa"), "look")
-    b = member_rows.select(F.col("row").alias("rb"), F.col("plain").alias("pb"), "look")
-    met = a.join(b, "look").where((F.col("ra") < F.col("rb")) & (F.col("pa") != F.col("pb")))
-    return met.select(F.col("ra").alias("row_a"), F.col("rb").alias("row_b"))
+    members = materialize(shaped.join(mixed, "look").select(F.collate("look", "UTF8_BINARY").alias("shape"), "h"), "look-members")
+    one = members.select(_collated(F.col("shape")).alias("look"), F.col("h").alias("ha"))
+    two = members.select(_collated(F.col("shape")).alias("look"), F.col("h").alias("hb"))
+    pairs = one.join(two, "look").where(F.col("ha") < F.col("hb")).select("ha", "hb")
+    slim = rows.select("row", "h")
+    met = pairs.join(slim.select(F.col("h").alias("ha"), F.col("row").alias("ra")), "ha").join(slim.select(F.col("h").alias("hb"), F.col("row").alias("rb")), "hb")
+    return met.select(F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
 
 
 def hidden_spans(df: DataFrame, sentence: str = "sentence", span: str = "span", key: str = "row_id") -> DataFrame:
