@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import ratio
+from glossmill.operators.features import char_ngrams
 from glossmill.operators.ranking import top_with_margin
 
 CUE_LIMIT = 5_000
@@ -32,10 +33,7 @@ def cue_hits(pages: DataFrame, cues: DataFrame, page_id: str, text: str, source:
         return compact.select("source", "page_id", F.explode(F.filter(table, lambda c: F.col("compact").contains(c))).alias("cue"))
     lengths = [r["n"] for r in words.select(F.length("cue").alias("n")).distinct().collect()]
     grams = compact.select(
-        "source", "page_id",
-        F.explode(F.array_distinct(F.flatten(F.array(*[
-            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("compact") - n + 1)), lambda i, n=n: F.substr("compact", i, F.lit(n))) for n in lengths
-        ])))).alias("cue"),
+        "source", "page_id", F.explode(F.array_distinct(F.flatten(F.array(*[char_ngrams(F.col("compact"), n) for n in lengths])))).alias("cue")
     )
     return grams.join(words, "cue", "left_semi").select("source", "page_id", "cue")
 

@@ -28,10 +28,11 @@ POISSON_CUTS = (368, 736, 920, 981, 996, 999)
 def group_cells(df: DataFrame, keys: list[str], group: str, gold: str = "gold", pred: str = "prediction") -> DataFrame:
     """(keys, group, label, tp, support, predicted) per group, labels as seen."""
     known = df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull())
-    cells = known.groupBy(*keys, group, F.col(gold).alias("g"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    same = F.when(F.col("g") == F.col("p"), F.col("n")).otherwise(F.lit(0))
-    a = cells.select(*keys, group, F.col("g").alias("label"), same.alias("tp"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"))
-    b = cells.select(*keys, group, F.col("p").alias("label"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"))
+    cells = known.groupBy(*keys, group, F.col(gold).alias("_gold"), F.col(pred).alias("_pred")).agg(F.count(F.lit(1)).alias("_n"))
+    same = F.when(F.col("_gold") == F.col("_pred"), F.col("_n")).otherwise(F.lit(0))
+    none = F.lit(0).cast("long")
+    a = cells.select(*keys, group, F.col("_gold").alias("label"), same.alias("tp"), F.col("_n").alias("support"), none.alias("predicted"))
+    b = cells.select(*keys, group, F.col("_pred").alias("label"), none.alias("tp"), none.alias("support"), F.col("_n").alias("predicted"))
     return a.unionByName(b).groupBy(*keys, group, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
 
 
