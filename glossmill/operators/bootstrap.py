@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import ratio
+from glossmill.session import materialize
 
 #: Cumulative Poisson(1) weights in thousandths: P(X <= 0), P(X <= 1), ...
 POISSON_CUTS = (368, 736, 920, 981, 996, 999)
@@ -50,21 +51,22 @@ def hash_replicates(cells: DataFrame, keys: list[str], group: str, draws: int) -
 
     Weights are made once per group and replicate; the cells of a group (systems x labels) travel with it.
     """
+    cells = materialize(cells, "cells")
     labels = cells.where(F.col("support") > 0).select(*keys, "label").distinct()
-    per_group = cells.groupBy(group).agg(F.collect_list(F.struct(*keys, "label", "tp", "support", "predicted")).alias("_cells"))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small data, much work: keep it spread
+    per_group = cells.repartition(tasks, group).groupBy(group).agg(F.collect_list(F.struct(*keys, "label", "tp", "support", "predicted")).alias("_cells"))
     drawn = per_group.select("_cells", F.posexplode(hash_weights(F.col(group), draws)).alias("_r", "w")).where(F.col("w") > 0)
     weighted = (
         drawn.select((F.col("_r") + 1).alias("replicate"), "w", F.explode("_cells").alias("c"))
         .groupBy(*[F.col(f"c.{k}").alias(k) for k in keys], "replicate", F.col("c.label").alias("label"))
         .agg(*[F.sum(F.col(f"c.{c}") * F.col("w")).alias(c) for c in ("tp", "support", "predicted")])
     )
-    totals = weighted.groupBy(*keys, "replicate").agg(ratio(F.sum("tp"), F.sum("support")).alias("accuracy"))
     size = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
-    f1 = weighted.join(F.broadcast(labels), [*keys, "label"], "left_semi").groupBy(*keys, "replicate").agg(
-        F.sum(ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"))).alias("f1_sum")
-    )
-    return f1.join(F.broadcast(size), keys).join(totals, [*keys, "replicate"]).select(
-        *keys, "replicate", (F.col("f1_sum") / F.col("k")).alias("macro_f1"), "accuracy"
+    known = labels.join(size, keys).withColumn("_gold", F.lit(True))
+    flagged = weighted.join(F.broadcast(known), [*keys, "label"], "left")
+    f1 = F.when(F.col("_gold"), ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"))).otherwise(0.0)
+    return flagged.groupBy(*keys, "replicate").agg(
+        (F.sum(f1) / F.max("k")).alias("macro_f1"), ratio(F.sum("tp"), F.sum("support")).alias("accuracy")
     )
 
 

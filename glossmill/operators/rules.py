@@ -19,8 +19,6 @@ are independent, extra columns pass through unless they share a result's name.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,100 +85,89 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _ladder(point: Column, cases: dict[str, Column], otherwise: Column) -> Column:
-    step = reduce(lambda acc, kv: acc.when(point == kv[0], kv[1]), list(cases.items())[1:], F.when(point == next(iter(cases)), next(iter(cases.values())))) if cases else None
-    return otherwise if step is None else step.otherwise(otherwise)
+def _lit(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _list(values) -> str:
+    return f"array({', '.join(_lit(v) for v in values)})" if values else "cast(array() AS array<string>)"
+
+
+def _case(cases: dict[str, str], otherwise: str) -> str:
+    """A ladder over the point; points with the same outcome share a step."""
+    steps: dict[str, list[str]] = {}
+    for point, outcome in cases.items():
+        steps.setdefault(outcome, []).append(point)
+    steps.pop(otherwise, None)
+    if not steps:
+        return otherwise
+    whens = " ".join(f"WHEN _p IN ({', '.join(_lit(k) for k in points)}) THEN {outcome}" for outcome, points in steps.items())
+    return f"CASE {whens} ELSE {otherwise} END"
+
 
+def _any(parts) -> str:
+    parts = list(parts)
+    return "(" + " OR ".join(parts) + ")" if parts else "false"
 
-def _first(ids: Column) -> Column:
-    """The first id as an array, empty if there is none."""
-    return F.slice(ids, 1, 1)
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+_RESULTS = (
+    "marker_hit", "structure_hit", "positive_ids", "weak_ids", "strong_ids", "score", "accepted", "weak_reject", "strong_reject", "state", "diagnosis", "trace",
+)
 
 
 def evaluate(
     rows: DataFrame, book: RuleBook, sentence: str = "sentence", span: str = "span", point: str = "label", family: str | None = None
 ) -> DataFrame:
     """``rows`` with marker_hit, structure_hit, positive_ids, weak_ids, strong_ids, score, accepted, weak_reject,
-    strong_reject, state, diagnosis, trace."""
-    spark = rows.sparkSession
-    sent = F.regexp_replace(F.coalesce(F.col(sentence), F.lit("")), r"(?U)^\s+|\s+$", "")
-    cand = F.regexp_replace(F.coalesce(F.col(span), F.lit("")), r"(?U)^\s+|\s+$", "")
-    p = F.coalesce(F.col(point), F.lit(""))
-    df = rows.withColumn("_sent", sent).withColumn("_cand", cand)
-    s, c = F.col("_sent"), F.col("_cand")
-    if len(book.bindings) <= LADDER_LIMIT:
-        of = lambda make, other: _ladder(p, {k: make(b) for k, b in book.bindings.items()}, other)
-        bound = p.isin(*book.bindings) if book.bindings else F.lit(False)
-        marker = of(lambda b: c.rlike(b.marker), F.lit(False))
-        structure = of(lambda b: c.rlike(b.structure), F.lit(False))
-        lexical = of(lambda b: reduce(lambda x, y: x | y, [c.rlike(h) for h in b.hard_negatives], F.lit(False)), F.lit(False))
-        pos, weak, strong = (of(lambda b, a=a: _strings(getattr(b, a)), _strings(())) for a in ("positive", "weak", "strong"))
-    else:
-        df = df.join(bindings_frame(spark, book), p == F.col("bound_point"), "left")
-        b = F.col("binding")
-        bound = F.col("bound_point").isNotNull()
-        marker = F.coalesce(F.regexp_like(c, b["marker"]), F.lit(False))
-        structure = F.coalesce(F.regexp_like(c, b["structure"]), F.lit(False))
-        lexical = F.coalesce(F.exists(b["hard_negatives"], lambda h: F.regexp_like(c, h)), F.lit(False))
-        pos, weak, strong = (F.coalesce(b[a], _strings(())) for a in ("positive", "weak", "strong"))
-    literal = _ladder(
-        p, {k: reduce(lambda x, y: x | y, [c.contains(m) for m in ms], F.lit(False)) for k, ms in book.literals.items()}, F.lit(False)
-    )
-    shortest = _ladder(p, {k: F.lit(min(len(m) for m in ms)) for k, ms in book.literals.items() if ms}, F.lit(1))
-    df = (
-        df.withColumn("_bound", bound)
-        .withColumn("_pos", pos)
-        .withColumn("_weak", weak)
-        .withColumn("_strong", strong)
-        .withColumn("marker_hit", F.when(F.col("_bound"), marker).otherwise(literal))
-        .withColumn(
-            "structure_hit",
-            F.when(F.col("_bound"), structure).otherwise(literal & (F.length(c) >= F.greatest(F.lit(2), shortest + 1))),
-        )
-        .withColumn("_lexical", lexical)
-    )
-    meta = reduce(lambda x, y: x | y, [c.rlike(m) for m in book.meta], F.lit(False))
-    none = _strings(())
-    bound, m, st = F.col("_bound"), F.col("marker_hit"), F.col("structure_hit")
-    pos, weak, strong = F.col("_pos"), F.col("_weak"), F.col("_strong")
-    fired_pos = F.when(bound, F.concat(F.when(m, _first(pos)).otherwise(none), F.when(st, F.slice(pos, 2, F.lit(2**30))).otherwise(none))).otherwise(none)
-    offset = (c != "") & ~s.contains(c)
-    fired_weak = F.concat(
-        F.when(bound & ~m, _first(weak)).otherwise(none),
-        F.when(bound & ~st, _first(weak)).otherwise(none),
-        F.when(offset & bound, _first(weak)).when(offset, _strings(("GLOBAL-OFFSET-MISMATCH",))).otherwise(none),
-    )
-    fired_strong = F.concat(
-        F.when(bound & F.col("_lexical"), F.slice(strong, -1, 1)).otherwise(none),
-        F.when(c == "", _strings(("GLOBAL-EMPTY-CANDIDATE",))).otherwise(none),
-        F.when(meta & (F.size(strong) > 0), _first(strong)).when(meta, _strings(("GLOBAL-META-MENTION",))).otherwise(none),
-    )
-    df = (
-        df.withColumn("positive_ids", F.array_distinct(fired_pos))
-        .withColumn("weak_ids", F.array_distinct(fired_weak))
-        .withColumn("strong_ids", F.array_distinct(fired_strong))
+    strong_reject, state, diagnosis, trace.
+
+    The plan is four projections (and, for a catalogue, one join), written as SQL text: one call builds each.
+    """
+    keep = [_name(c) for c in rows.columns if c not in _RESULTS]
+    trim = lambda c: rf"regexp_replace(coalesce({_name(c)}, ''), '(?U)^\\s+|\\s+$', '')"
+    df = rows.selectExpr(
+        *keep, f"{trim(sentence)} AS _s", f"{trim(span)} AS _c", f"coalesce({_name(point)}, '') AS _p", (f"coalesce({_name(family)}, '')" if family else "''") + " AS _f"
     )
-    np_, nw, ns = F.size("positive_ids"), F.size("weak_ids"), F.size("strong_ids")
-    df = (
-        df.withColumn("score", np_ - nw - 2 * ns)
-        .withColumn("accepted", m & st & (ns == 0))
-        .withColumn("weak_reject", (nw > 0) & (ns == 0))
-        .withColumn("strong_reject", ns > 0)
+    b = book.bindings
+    if len(b) <= LADDER_LIMIT:
+        per = lambda make, other: _case({k: make(x) for k, x in b.items()}, other)
+        bound = _any([f"_p IN ({', '.join(_lit(k) for k in b)})"] if b else [])
+        marker, structure = per(lambda x: f"_c RLIKE {_lit(x.marker)}", "false"), per(lambda x: f"_c RLIKE {_lit(x.structure)}", "false")
+        lexical = per(lambda x: _any(f"_c RLIKE {_lit(h)}" for h in x.hard_negatives), "false")
+        pos, weak, strong = (per(lambda x, a=a: _list(getattr(x, a)), _list(())) for a in ("positive", "weak", "strong"))
+    else:
+        catalogue = bindings_frame(rows.sparkSession, book)
+        df = df.join(catalogue, df["_p"] == catalogue["bound_point"], "left")
+        bound = "bound_point IS NOT NULL"
+        marker, structure = "coalesce(_c RLIKE binding.marker, false)", "coalesce(_c RLIKE binding.structure, false)"
+        lexical = "coalesce(exists(binding.hard_negatives, h -> _c RLIKE h), false)"
+        pos, weak, strong = (f"coalesce(binding.{a}, {_list(())})" for a in ("positive", "weak", "strong"))
+    literal = _case({k: _any(f"contains(_c, {_lit(m)})" for m in ms) for k, ms in book.literals.items()}, "false")
+    longer = _case({k: str(max(2, min(len(m) for m in ms) + 1)) for k, ms in book.literals.items() if ms}, "2")
+    none = _list(())
+    df = df.selectExpr(
+        *keep, "_s", "_c", "_p", "_f", f"{bound} AS _bound", f"{marker} AS _m", f"{structure} AS _st", f"{lexical} AS _lex", f"{literal} AS _lm", f"length(_c) >= {longer} AS _long",
+        f"{pos} AS _pos", f"{weak} AS _weak", f"{strong} AS _strong", f"{_any(f'_c RLIKE {_lit(m)}' for m in book.meta)} AS _meta", "_c <> '' AND NOT contains(_s, _c) AS _off",
+    ).selectExpr(
+        *keep, "_p", "_f", "if(_bound, _m, _lm) AS marker_hit", "if(_bound, _st, _lm AND _long) AS structure_hit",
+        f"array_distinct(if(_bound, concat(if(_m, slice(_pos, 1, 1), {none}), if(_st, slice(_pos, 2, 1000000), {none})), {none})) AS positive_ids",
+        f"""array_distinct(concat(if(_bound AND NOT (_m AND _st), slice(_weak, 1, 1), {none}),
+            CASE WHEN _off AND _bound THEN slice(_weak, 1, 1) WHEN _off THEN {_list(("GLOBAL-OFFSET-MISMATCH",))} ELSE {none} END)) AS weak_ids""",
+        f"""array_distinct(concat(if(_bound AND _lex AND size(_strong) > 0, slice(_strong, -1, 1), {none}), if(_c = '', {_list(("GLOBAL-EMPTY-CANDIDATE",))}, {none}),
+            CASE WHEN _meta AND size(_strong) > 0 THEN slice(_strong, 1, 1) WHEN _meta THEN {_list(("GLOBAL-META-MENTION",))} ELSE {none} END)) AS strong_ids""",
     )
-    acc, wr, sr = F.col("accepted"), F.col("weak_reject"), F.col("strong_reject")
-    fam = F.coalesce(F.col(family), F.lit("")) if family else F.lit("")
-    rules = F.concat("positive_ids", "weak_ids", "strong_ids")
-    return (
-        df.withColumn("state", trace_state(sr, wr, acc))
-        .withColumn("diagnosis", F.when(sr, "strong_reject").when(wr, "weak_reject").when(acc, "accept").otherwise("review"))
-        .withColumn(
-            "trace",
-            F.concat(
-                F.array(F.concat(F.lit("candidate:"), p), F.concat(F.lit("family:"), fam)),
-                F.transform(F.array_distinct(rules), lambda r: F.concat(F.lit("rule:"), r)),
-            ),
-        )
-        .drop("_sent", "_cand", "_bound", "_pos", "_weak", "_strong", "_lexical", "bound_point", "binding")
+    ids = ["marker_hit", "structure_hit", "positive_ids", "weak_ids", "strong_ids"]
+    return df.selectExpr(
+        *keep, *ids, "size(positive_ids) - size(weak_ids) - 2 * size(strong_ids) AS score", "marker_hit AND structure_hit AND size(strong_ids) = 0 AS accepted",
+        "size(weak_ids) > 0 AND size(strong_ids) = 0 AS weak_reject", "size(strong_ids) > 0 AS strong_reject",
+        "CASE WHEN size(strong_ids) > 0 THEN 'strong' WHEN size(weak_ids) > 0 THEN 'weak' WHEN marker_hit AND structure_hit THEN 'accept' ELSE 'no_decision' END AS state",
+        "CASE WHEN size(strong_ids) > 0 THEN 'strong_reject' WHEN size(weak_ids) > 0 THEN 'weak_reject' WHEN marker_hit AND structure_hit THEN 'accept' ELSE 'review' END AS diagnosis",
+        "concat(array(concat('candidate:', _p), concat('family:', _f)), transform(array_distinct(concat(positive_ids, weak_ids, strong_ids)), r -> concat('rule:', r))) AS trace",
     )
 
 

@@ -96,8 +96,9 @@ def _majority_sql(level: str | None) -> str:
 def span_scores(spark: SparkSession, d: str) -> DataFrame:
     """Spans found by the bound structure pattern against the given ones."""
     c = base.candidates(spark, d)
-    structure = rules._ladder(F.col("label"), {k: F.regexp_extract("sentence", b.structure, 0) for k, b in base.DEMO_BOOK.bindings.items()}, F.lit(""))
-    return metrics.span_scores(c.withColumn("found", structure), ["tier"], "span", "found", "sentence")
+    found = rules._case({k: f"regexp_extract(sentence, {rules._lit(b.structure)}, 0)" for k, b in base.DEMO_BOOK.bindings.items()}, "''")
+    with_found = c.withColumn("_p", F.col("label")).withColumn("found", F.expr(found))
+    return metrics.span_scores(with_found, ["tier"], "span", "found", "sentence")
 
 
 _FOUND = base._sql_case({k: f"regexp_extract(sentence, {base._q(b.structure)}, 0)" for k, b in base.DEMO_BOOK.bindings.items()}, "''")
