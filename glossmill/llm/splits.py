@@ -32,6 +32,8 @@ from glossmill.session import discard, materialize, materialize_counted
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 MAX_ROUNDS = 400
 RANGES = 1024
+#: Collapses replayed within one job; each doubles the plan, so few.
+UNWIND_STEPS = 3
 
 
 def record_keys(df: DataFrame) -> DataFrame:
@@ -87,14 +89,16 @@ def contract(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
 def unwind(vertices: DataFrame, collapses: list[DataFrame]) -> DataFrame:
     """Replay the collapses backwards.  A vertex collapses once at most, so each round only adds its own children."""
     known = None
-    for mates in reversed(collapses):
+    for k, mates in enumerate(reversed(collapses)):
         child = mates.select(F.col("a").alias("vertex"), F.col("into"))
         if known is None:
             known = child.select("vertex", F.col("into").alias("block"))
             continue
         up = known.select(F.col("vertex").alias("into"), F.col("block").alias("top"))
         added = child.join(up, "into", "left").select("vertex", F.coalesce("top", "into").alias("block"))
-        known = materialize(known.unionByName(added), "labels")
+        known = known.unionByName(added)
+        if k % UNWIND_STEPS == 0:
+            known = materialize(known, "labels")
     return vertices.join(known, "vertex", "left").select("vertex", F.coalesce("block", "vertex").alias("block"))
 
 
