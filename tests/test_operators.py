@@ -222,3 +222,15 @@ def test_text_forms(spark):
     d = spark.createDataFrame([(" ＡB，c　d ",), (None,)], "t string")
     r = d.select(T.squeeze_sentence("t"), T.without_formatting("t"), T.strip_unicode("t")).collect()
     assert tuple(r[0]) == ("ａb,cd", "ａbcd", "ＡB，c　d") and tuple(r[1]) == ("", None, "")
+
+
+def test_pattern_helpers(spark):
+    from glossmill.functions import patterns as P
+
+    assert P.repair_pattern('"(?P<a>x)\\Qa.b\\E……"') == "(?<a>x)a\\.b.{0,12}"
+    assert P.literal_fallback(["a", "bb", "a", "c.d", ""]) == "c\\.d|bb|a"
+    v = {r["p"]: r["valid"] for r in P.pattern_validity(spark.createDataFrame([("a(b",), ("(?P<x>a)",), ("",), (None,)], "p string"), "p").collect()}
+    assert v == {"a(b": False, "(?P<x>a)": True, "": False, None: False}
+    d = spark.createDataFrame([("名：值", [1.0, 1.0], {"a": 3.0})], "t string, m array<double>, p map<string,double>")
+    r = d.select(P.label_head(F.col("t")), P.softmax_confidence(F.col("m")), P.margin_confidence(F.lit(0.0)), P.aligned_probabilities(F.col("p"), ["a", "b"]), P.clean_speaker(F.lit("· 老周：去 \t 湖边"))).collect()[0]
+    assert r[0] == "名" and r[1] == 0.5 and r[2] == 0.5 and r[3][0] == pytest.approx(1.0) and r[4] == "去 湖边"
