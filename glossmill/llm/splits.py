@@ -32,8 +32,6 @@ from glossmill.session import discard, materialize, materialize_counted
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 MAX_ROUNDS = 400
 RANGES = 1024
-#: Collapses replayed within one job; each doubles the plan, so few.
-UNWIND_STEPS = 3
 
 
 def record_keys(df: DataFrame) -> DataFrame:
@@ -48,7 +46,8 @@ def record_keys(df: DataFrame) -> DataFrame:
 
 def group_links(keys: DataFrame) -> DataFrame:
     """(a, b) with a < b: for each number, its smallest group to each further one."""
-    pairs = keys.where(F.col("num").isNotNull() & F.col("grp").isNotNull()).groupBy("num", "grp").agg(F.count(F.lit(1)).alias("n"))
+    pairs = keys.where(F.col("num").isNotNull() & F.col("grp").isNotNull()).select("num", "grp").distinct()
+    pairs = materialize(pairs, "number-groups")  # texts are cleaned once
     hubs = pairs.groupBy("num").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).where(F.col("a") < F.col("z"))
     return pairs.join(hubs.select("num", "a"), "num").where(F.col("grp") > F.col("a")).select("a", F.col("grp").alias("b")).distinct()
 
@@ -89,16 +88,14 @@ def contract(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
 def unwind(vertices: DataFrame, collapses: list[DataFrame]) -> DataFrame:
     """Replay the collapses backwards.  A vertex collapses once at most, so each round only adds its own children."""
     known = None
-    for k, mates in enumerate(reversed(collapses)):
+    for mates in reversed(collapses):
         child = mates.select(F.col("a").alias("vertex"), F.col("into"))
         if known is None:
             known = child.select("vertex", F.col("into").alias("block"))
             continue
         up = known.select(F.col("vertex").alias("into"), F.col("block").alias("top"))
         added = child.join(up, "into", "left").select("vertex", F.coalesce("top", "into").alias("block"))
-        known = known.unionByName(added)
-        if k % UNWIND_STEPS == 0:
-            known = materialize(known, "labels")
+        known = materialize(known.unionByName(added), "labels")
     return vertices.join(known, "vertex", "left").select("vertex", F.coalesce("block", "vertex").alias("block"))
 
 
@@ -117,7 +114,7 @@ def linked_groups(df: DataFrame) -> DataFrame:
 
 def record_blocks(df: DataFrame) -> DataFrame:
     """(row_id, block): the block every record belongs to."""
-    keys = record_keys(df)
+    keys = materialize(record_keys(df), "record-keys")
     named = blocks(keys)
     by_num = (
         keys.where(F.col("num").isNotNull() & F.col("grp").isNotNull())
