@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import patterns
 from glossmill.functions.text import ratio
-from glossmill.operators import metrics
+from glossmill.operators import grouping, metrics
 from glossmill.plans import base
 from glossmill.plans.base import SQL_CANDIDATES, SQL_FACTS, SQL_SYSTEMS, sql_metrics
 from glossmill.session import table
@@ -137,6 +137,13 @@ def utf8_findings(spark, d):
     return docs.groupBy("source").agg(F.count_if(~patterns.is_clean_utf8(F.col("text"))).alias("n_broken"))
 
 
+def stratified_split(spark, d):
+    """Rows and groups per split and gold label, split by stratified groups."""
+    f = base.facts(spark, d).where(F.col("gold").isNotNull()).withColumn("gkey", base.group_key()).select("gkey", "gold")
+    parts = grouping.three_way_split(f, "gkey", "gold")
+    return grouping.split_manifest(f.join(parts, "gkey"), "split", "gkey", "gold")
+
+
 _SQL_PIECES = r"regexp_split_to_array({c}, '[；;，,、|/\s]+')"
 _LAD = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{f}'" for f, p in FAMILY_PATTERNS) + " END"
 
@@ -144,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         first_matching_family, candidate_quality, cleaned_sentences, pattern_validity, recompute_compare, demo_selection, confidence_forms, cost_sums, threshold_best, seed_choice, status_rewrite,
-        printed_id_pages, heading_lines, utf8_findings,
+        printed_id_pages, heading_lines, utf8_findings, stratified_split,
     )
 }
 

@@ -234,3 +234,17 @@ def test_pattern_helpers(spark):
     d = spark.createDataFrame([("名：值", [1.0, 1.0], {"a": 3.0})], "t string, m array<double>, p map<string,double>")
     r = d.select(P.label_head(F.col("t")), P.softmax_confidence(F.col("m")), P.margin_confidence(F.lit(0.0)), P.aligned_probabilities(F.col("p"), ["a", "b"]), P.clean_speaker(F.lit("· 老周：去 \t 湖边"))).collect()[0]
     assert r[0] == "名" and r[1] == 0.5 and r[2] == 0.5 and r[3][0] == pytest.approx(1.0) and r[4] == "去 湖边"
+
+
+def test_stratified_groups(spark, monkeypatch):
+    from glossmill.operators import grouping
+
+    monkeypatch.setattr(grouping, "BUCKET_GROUPS", 60)
+    rows = [(f"g{i % 150}", "a" if i % 4 else "b") for i in range(3000)] + [("big", "a")] * 200 + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "grp string, y string")
+    folds = {r["grp"]: r["fold"] for r in grouping.stratified_group_folds(df, "grp", "y", 5).collect()}
+    assert set(folds) == {g or "" for g, _ in rows} and set(folds.values()) == set(range(5))
+    sizes = [sum(folds[g or ""] == k for g, _ in rows) for k in range(5)]
+    assert max(sizes) < 1.5 * min(sizes)
+    split = {r["grp"]: r["split"] for r in grouping.three_way_split(df, "grp", "y").collect()}
+    assert set(split) == set(folds) and set(split.values()) == {"train", "dev", "test"}
