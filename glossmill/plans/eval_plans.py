@@ -108,7 +108,7 @@ def last_valid_answer(spark, d):
 def upsert_by_seed(spark, d):
     """Results of re-run seeds replace the old ones."""
     old = _by_seed(spark, d).select("seed", "system", "accuracy")
-    new = old.where(F.col("seed") == 1).withColumn("accuracy", F.round(F.col("accuracy") / 2, 6))
+    new = old.where(F.col("seed") == 1).withColumn("accuracy", F.round(F.col("accuracy") + 1, 6))
     return ranking.upsert_by_key(old, new, "seed")
 
 
@@ -299,7 +299,7 @@ ORACLES = {
         SELECT item, seed, row_id, model, cues FROM r WHERE k = 1""",
     "last_valid_answer": f"""WITH {SQL_FACTS}, r AS (SELECT item, row_id, model, prediction, row_number() OVER (PARTITION BY item ORDER BY row_id DESC) AS k FROM facts WHERE status = 'completed')
         SELECT item, row_id, model, prediction FROM r WHERE k = 1""",
-    "upsert_by_seed": f"{_M_SEED} SELECT seed, system, CASE WHEN seed = 1 THEN round(accuracy / 2, 6) ELSE accuracy END AS accuracy FROM metrics",
+    "upsert_by_seed": f"{_M_SEED} SELECT seed, system, CASE WHEN seed = 1 THEN round(accuracy + 1, 6) ELSE accuracy END AS accuracy FROM metrics",
     "cohen_pairs": f"""WITH {SQL_SYSTEMS}, w AS (SELECT row_id, max(CASE WHEN system = 'model' THEN prediction END) AS model, max(CASE WHEN system = 'cues' THEN prediction END) AS cues, max(gold) AS gold_label FROM systems GROUP BY 1)
         {_KAPPA('model', 'gold_label')} UNION ALL {_KAPPA('cues', 'gold_label')} UNION ALL {_KAPPA('model', 'cues')}""",
     "fleiss_ac1": f"""WITH {SQL_SYSTEMS}, r AS (SELECT row_id, prediction AS label FROM systems WHERE system <> 'majority' UNION ALL SELECT row_id, gold FROM systems WHERE system = 'model'),

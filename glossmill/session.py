@@ -78,3 +78,8 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this library; call when no frame that reads them is in use any more."""
+    discard(spark, f"{shared_dir(spark)}/glossmill")
