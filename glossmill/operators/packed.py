@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossmill.session import materialize
+from glossmill.session import materialize, materialize_counted
 
 #: Characters that divide lists, quotes with their closing partner, brackets around a whole list.
 SEPARATORS = "；;，,、|/"
@@ -188,7 +188,9 @@ def split_packed(fields: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     in_quotes = scanned.select(*keys, F.explode(F.filter("atoms", lambda a: a["quoted"])).alias("a")).select(*keys, F.col("a.value").alias("value"))
     whole = alone.unionByName(in_quotes).distinct()
     arcs = scanned.select("fid", *keys, F.explode("arcs").alias("arc")).select("fid", *keys, "arc.start", "arc.stop", "arc.value")
-    live = materialize(arcs.join(whole, [*keys, "value"], "left_semi"), "packed-arcs")
+    live, _, ambiguous = materialize_counted(arcs.join(whole, [*keys, "value"], "left_semi"), "packed-arcs")
+    if not ambiguous:  # every field has one reading
+        return _positions(scanned.select("table_name", "field_name", "row_key", F.transform("atoms", lambda a: a["value"]).alias("items")))
     open_ids = live.select("fid").distinct()
     plain = scanned.join(open_ids, "fid", "left_anti")
     fixed = (
@@ -210,10 +212,12 @@ def split_packed(fields: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     final = _expectation(lattices, fixed.unionByName(posterior), keys, True)
     chosen = scanned.join(final, "fid").select("table_name", "field_name", "row_key", "items")
     direct = plain.select("table_name", "field_name", "row_key", F.transform("atoms", lambda a: a["value"]).alias("items"))
-    both = direct.unionByName(chosen)
-    return both.select("table_name", "field_name", "row_key", F.posexplode("items").alias("p", "item")).select(
-        "table_name", "field_name", "row_key", (F.col("p") + 1).cast("int").alias("pos"), "item"
-    )
+    return _positions(direct.unionByName(chosen))
+
+
+def _positions(rows: DataFrame) -> DataFrame:
+    each = rows.select("table_name", "field_name", "row_key", F.posexplode("items").alias("p", "item"))
+    return each.select("table_name", "field_name", "row_key", (F.col("p") + 1).cast("int").alias("pos"), "item")
 
 
 def _expectation(lattices: DataFrame, weights: DataFrame, keys: list[str], decide: bool) -> DataFrame:
