@@ -12,9 +12,11 @@ Method: one pass over whole texts with a stack automaton for structure, and a lo
 
 The completeness model is trained here, on the corpus itself: whole sentences, taken between two terminators, against
 prefixes of such sentences, as a logistic regression on hashed features of how a sentence starts, how its last clause
-starts, and how it ends.  It is fitted on at most ``SAMPLE_SENTENCES`` sentences of documents chosen by hash;
-everything else, baselines included, covers all documents.  A last line whose opening no sentence of the sample shares
-(signature, list, key words, page number) is a closing line, not a sentence, and complete.
+starts, and how it ends.  Its weights are fitted on at most ``SAMPLE_SENTENCES`` sentences of documents chosen by hash;
+everything else, openings and baselines included, covers all documents.  A last line whose opening no sentence of the
+documents shares, or more last lines without terminator than sentences (signature, list, key words, page number), is a
+closing line, not a sentence, and complete.  Where its source is proven to cut at just this length, it is a closing
+line only if other texts end with that opening too.
 
 Defined cases: null and empty texts, and texts of blanks, are no case; repeated texts are judged alike; a very long
 text costs time linear in its length; an empty table gives no rows.
@@ -24,25 +26,32 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.session import materialize
+
 SAMPLE_SENTENCES = 12_000
 SAMPLE_DOCS = 1_500
 HASH_BITS = 18
 EPOCHS = 5
 BATCH = 64
 RATE = 0.3
-#: Openings seen at least this often in the sample belong to sentences.
+#: Openings seen at least this often in all documents belong to sentences.
 OPENING_SUPPORT = 2
+#: Distinct openings a task holds before it hands their counts on.
+OPENINGS_HELD = 200_000
 #: A last line of at most so many words, or ideographs, may be a closing line that opens like a sentence.
 SHORT_LINE = (6, 14)
 #: Length classes with at least this many texts, most of them without terminator, are a source's limit.
 LIMIT_SUPPORT = 3
 LIMIT_WEIGHT = 2.0
+#: A limit is proven where chance, at the source's own rate, is below about exp(-LIMIT_PROOF) for so many without terminator.
+LIMIT_PROOF = 16.0
 
 TERMINATORS = "。！？!?｡．"
 CLOSERS = "”’」』）)】》〉]\"'"
@@ -116,42 +125,34 @@ def sentences(text: str) -> list[str]:
 
 
 class Completeness:
-    """Logistic regression over hashed features, and the openings of known sentences."""
+    """Logistic regression over hashed features."""
 
-    def __init__(self, weights: np.ndarray, openings: dict[str, int]):
-        self.weights, self.openings = weights, openings
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
 
     def score(self, s: str) -> float:
         return float(self.weights[sentence_features(s)].sum())
 
-    def known(self, s: str, own_line: bool) -> bool:
-        """Whether sentences open like this; on a short line of its own one more word has to agree."""
-        return all(self.openings.get(k, 0) >= OPENING_SUPPORT for k in _opening_keys(s, own_line))
-
 
-def _opening_keys(s: str, own_line: bool) -> list[str]:
+def _opening_key(s: str, own_line: bool) -> str:
+    """The opening that sentences have to share with this one; on a short line of its own it is one word longer."""
     w = _words(s)
     latin = bool(w) and w[0].isascii() and w[0].isalpha()
     k = (1 if latin else 2) + (own_line and len(w) <= (SHORT_LINE[0] if latin else SHORT_LINE[1]))
     if len(w) > k:
-        return ["|".join(w[:k])]
-    return ["|".join(w) + ("~" if latin else "")]
+        return "|".join(w[:k])
+    return "|".join(w) + ("~" if latin else "")
 
 
-def _count_openings(whole: list[str]) -> dict[str, int]:
-    """Support of every opening of one to three words, and of every beginning of its last word (marked ``~``)."""
-    seen: dict[str, int] = {}
-    for s in whole:
-        w = _words(s)
-        for k in (1, 2, 3):
-            head = "|".join(w[:k])
-            seen[head] = seen.get(head, 0) + 1
-            if w and w[0].isascii() and k <= min(2, len(w)):
-                stem = "|".join(w[: k - 1]) + ("|" if k > 1 else "")
-                for n in range(1, len(w[k - 1]) + 1):
-                    part = stem + w[k - 1][:n] + "~"
-                    seen[part] = seen.get(part, 0) + 1
-    return seen
+def _opening_parts(w: list[str]) -> set[str]:
+    """Openings of one to three words of a sentence, and every beginning of their last word (marked ``~``)."""
+    parts = set()
+    for k in (1, 2, 3):
+        parts.add("|".join(w[:k]))
+        if w and w[0].isascii() and k <= min(2, len(w)):
+            stem = "|".join(w[: k - 1]) + ("|" if k > 1 else "")
+            parts.update(stem + w[k - 1][:n] + "~" for n in range(1, len(w[k - 1]) + 1))
+    return parts
 
 
 def fit(whole: list[str], seed: int = 7) -> Completeness:
@@ -179,7 +180,7 @@ def fit(whole: list[str], seed: int = 7) -> Completeness:
             g = np.bincount(inverse, np.repeat(error, sizes)) / 4.0
             squares[used] += g * g
             w[used] -= RATE * g / np.sqrt(squares[used])
-    return Completeness(w.astype(np.float32), {k: n for k, n in _count_openings(whole).items() if n >= OPENING_SUPPORT})
+    return Completeness(w.astype(np.float32))
 
 
 def open_structure(text: str) -> bool:
@@ -239,7 +240,7 @@ def ending(text: str) -> tuple[str, str, bool]:
 def training_sentences(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, limit: int = SAMPLE_SENTENCES) -> list[str]:
     """At most ``limit`` sentences, those of smallest hash within about ``sample_docs`` documents chosen by hash.
 
-    Repeated sentences stay: how often a sentence opens in a way is part of what is learned.
+    Repeated sentences stay: how often a sentence occurs is part of what is learned.
     """
     texts = docs.where(F.length("text") > 0).select("text")
     share = min(1.0, sample_docs / max(1, texts.count()))
@@ -255,46 +256,88 @@ def training_sentences(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, limit: i
 
 
 def source_limits(docs: DataFrame) -> DataFrame:
-    """(source, n, limit_share): share of texts of a source and length without terminator, where it marks a limit."""
+    """(source, n, limit_share, proven): share of texts of a source and length without terminator, where it marks a limit.
+
+    Among many lengths some have mostly texts without terminator by chance; ``proven`` are those that Chernoff's bound
+    excludes at the share of such texts in the whole source.
+    """
     t = F.regexp_replace(F.col("text"), r"(?U)\s+$", "")
     done = t.rlike(rf"[{TERMINATORS}.][{re.escape(CLOSERS)}]*$")
     lengths = docs.where(F.length("text") > 0).select("source", F.length("text").alias("n"), done.alias("done"))
     per = lengths.groupBy("source", "n").agg(F.count(F.lit(1)).alias("texts"), F.sum((~F.col("done")).cast("long")).alias("bare"))
-    limit = per.where((F.col("bare") >= LIMIT_SUPPORT) & (F.col("bare") >= 0.6 * F.col("texts")))
-    return limit.select("source", "n", (F.col("bare") / F.col("texts")).alias("limit_share"))
+    rate = per.groupBy("source").agg((F.sum("bare") / F.sum("texts")).alias("p"))
+    limit = per.where((F.col("bare") >= LIMIT_SUPPORT) & (F.col("bare") >= 0.6 * F.col("texts"))).join(rate, "source")
+    share, p = F.col("bare") / F.col("texts"), F.col("p")
+    rest = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - p))).otherwise(0.0)
+    proven = (share > p) & (F.col("texts") * (share * F.ln(share / p) + rest) >= LIMIT_PROOF)
+    return limit.select("source", "n", share.alias("limit_share"), proven.alias("proven"))
+
+
+def known_openings(docs: DataFrame) -> DataFrame:
+    """(opening, sentences): openings that at least ``OPENING_SUPPORT`` whole sentences of all documents share.
+
+    Sentences are reduced to counts of their first three words in each task, and only distinct ones are taken apart.
+    """
+
+    def heads(batches):
+        seen: Counter = Counter()
+        for pdf in batches:
+            for t in pdf["text"]:
+                seen.update("\x1f".join(_words(s)[:3]) for s in sentences(t))
+                if len(seen) >= OPENINGS_HELD:
+                    yield pd.DataFrame({"head": list(seen), "n": list(seen.values())})
+                    seen.clear()
+        yield pd.DataFrame({"head": list(seen), "n": list(seen.values())}).astype({"head": "object", "n": "int64"})
+
+    def parts(batches):
+        for pdf in batches:
+            seen: Counter = Counter()
+            for h, n in zip(pdf["head"], pdf["n"]):
+                for k in _opening_parts(h.split("\x1f") if h else []):
+                    seen[k] += n
+            yield pd.DataFrame({"opening": list(seen), "n": list(seen.values())}).astype({"opening": "object", "n": "int64"})
+
+    texts = docs.where(F.length("text") > 0).select("text")
+    counted = texts.mapInPandas(heads, "head string, n long").groupBy("head").agg(F.sum("n").alias("n"))
+    return counted.mapInPandas(parts, "opening string, n long").groupBy("opening").agg(F.sum("n").alias("n")).where(F.col("n") >= OPENING_SUPPORT).withColumnRenamed("n", "sentences")
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, kind, score, known, n): every non-empty text with how it ends."""
+    """(doc_id, source, kind, score, opening, n): every non-empty text with how it ends; ``opening`` of bare ones only."""
     model = fit(training_sentences(docs))
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.openings))
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights.tobytes())
 
     def judge(batches):
-        raw, openings = shared.value
-        m = Completeness(np.frombuffer(raw, dtype=np.float32), openings)
+        m = Completeness(np.frombuffer(shared.value, dtype=np.float32))
         for pdf in batches:
-            kinds, scores, known = [], [], []
+            kinds, scores, openings = [], [], []
             for text in pdf["text"]:
                 kind, frag, own_line = ending(text)
                 kinds.append(kind)
                 scores.append(m.score(frag) if frag else 0.0)
-                known.append(bool(frag) and m.known(frag, own_line))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "kind": kinds, "score": scores, "known": known, "n": pdf["n"]})
+                openings.append(_opening_key(frag, own_line) if frag and kind == "bare" else None)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "kind": kinds, "score": scores, "opening": openings, "n": pdf["n"]})
 
     texts = docs.where(F.length("text") > 0).select("doc_id", "source", "text", F.length("text").alias("n"))
-    return texts.mapInPandas(judge, "doc_id long, source string, kind string, score double, known boolean, n int")
+    return texts.mapInPandas(judge, "doc_id long, source string, kind string, score double, opening string, n int")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """(doc_id, source, cut): the verdict on every non-empty text."""
-    rows = judged(docs)
+    # a text without opening gets one of its own that no sentence has, so that such texts don't meet in one task
+    alone = F.concat(F.lit("\x1f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = materialize(judged(docs).withColumn("opening", F.coalesce("opening", alone)), "judged")
     limits = source_limits(docs)
-    joined = rows.join(limits, ["source", "n"], "left")
+    lines = rows.where(F.col("kind") == "bare").groupBy("opening").agg(F.count(F.lit(1)).alias("lines"))
+    known = F.coalesce("sentences", F.lit(0)) > F.col("lines")
+    seen = lines.join(known_openings(docs), "opening", "left").select("opening", known.alias("known"), (~known & (F.col("lines") >= OPENING_SUPPORT)).alias("closing"))
+    joined = rows.join(limits, ["source", "n"], "left").join(seen, "opening", "left")
     score = F.col("score") - F.coalesce(F.col("limit_share"), F.lit(0.0)) * LIMIT_WEIGHT
+    sentence = F.coalesce("known", F.lit(False)) | (F.coalesce("proven", F.lit(False)) & ~F.coalesce("closing", F.lit(False)))
     cut = (
         F.col("kind").isin("broken", "open")
         | ((F.col("kind") == "marked") & (score < LIMIT_WEIGHT))
-        | ((F.col("kind") == "bare") & F.col("known") & (score < 0))
+        | ((F.col("kind") == "bare") & sentence & (score < 0))
     )
     return joined.where(F.col("kind") != "empty").select("doc_id", "source", cut.alias("cut"))
 

@@ -311,3 +311,22 @@ def test_very_long_text_is_judged(spark):
     assert 1 not in got
 
 
+
+
+def test_openings_outside_the_sample_are_known(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(truncation.training_sentences, "__defaults__", (20, truncation.SAMPLE_SENTENCES))
+    base = corpus(random.Random(3), 400)
+    rare = ["鹦鹉在教室里朗读课文呢。", "鹦鹉把语法书放回架子上。", "小周整理了笔记。鹦鹉在教室里朗读课文，再打"]
+    df = docs(spark, base + rare)
+    assert not any(s.startswith("鹦鹉") for s in truncation.training_sentences(df))
+    assert 402 in {r["doc_id"] for r in truncation.cut_documents(df).collect()}
+
+
+def test_proven_source_limit_needs_no_known_opening(spark):
+    whole = corpus(random.Random(4), 200)
+    texts = [f"小周整理了笔记。{c}{c}虽然标题很清楚，但是老唐昨天就修" for c in "鲸鲨鳄鲵鳗鳕鲟鲈鲤鲫"]
+    thanks = ["小周整理了笔记。\n谢谢大家"] * 3
+    df = docs(spark, whole + texts + thanks)
+    got = {r["doc_id"] for r in truncation.cut_documents(df).collect()}
+    assert got == set(range(200, 210))  # three of a length are no proof
