@@ -24,6 +24,8 @@ from glossmill.session import materialize
 
 #: Cumulative Poisson(1) weights in thousandths: P(X <= 0), P(X <= 1), ...
 POISSON_CUTS = (368, 736, 920, 981, 996, 999)
+#: Groups whose weights a task of ``numpy_replicates`` holds at once.
+WEIGHT_ROWS = 500
 
 
 def group_cells(df: DataFrame, keys: list[str], group: str, gold: str = "gold", pred: str = "prediction") -> DataFrame:
@@ -100,7 +102,7 @@ def numpy_replicates(cells: DataFrame, keys: list[str], group: str, labels: list
         for pdf in batches:
             groups = pdf[group].fillna("").astype(str)
             codes, uniq = pd.factorize(groups)
-            weights = np.stack([np.random.default_rng([seed, *g.encode()]).poisson(1.0, draws) for g in uniq]) if len(uniq) else None
+            mats = []
             for key, part in pdf.assign(_g=codes).groupby(keys, dropna=False, sort=False) if keys else [((), pdf.assign(_g=codes))]:
                 key = key if isinstance(key, tuple) else (key,)
                 acc = sums.setdefault(key, np.zeros((draws, k * 3)))
@@ -109,7 +111,11 @@ def numpy_replicates(cells: DataFrame, keys: list[str], group: str, labels: list
                 mat = np.zeros((len(uniq), k * 3))
                 for j, c in enumerate(("tp", "support", "predicted")):
                     np.add.at(mat, (part["_g"][ok].to_numpy(), col[ok].to_numpy(dtype=int) * 3 + j), part[c][ok].to_numpy())
-                acc += weights.T @ mat
+                mats.append((acc, mat))
+            for at in range(0, len(uniq), WEIGHT_ROWS):
+                weights = np.stack([np.random.default_rng([seed, *g.encode()]).poisson(1.0, draws).astype(np.float64) for g in uniq[at : at + WEIGHT_ROWS]])
+                for acc, mat in mats:
+                    acc += weights.T @ mat[at : at + WEIGHT_ROWS]
         for key, acc in sums.items():
             out = pd.DataFrame({"replicate": np.arange(draws, dtype=np.int32), "sums": list(acc)})
             for name, v in zip(keys, key):
@@ -117,7 +123,8 @@ def numpy_replicates(cells: DataFrame, keys: list[str], group: str, labels: list
             yield out[[*keys, "replicate", "sums"]]
 
     schema = ", ".join([f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in keys] + ["replicate int", "sums array<double>"])
-    parts = cells.mapInPandas(partial, schema)
+    # all cells of a group in one task and next to each other, so that its weights are drawn once
+    parts = cells.repartition(group).sortWithinPartitions(group).mapInPandas(partial, schema)
     total = parts.groupBy(*keys, "replicate").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(3 * k)])
     f1 = [ratio(2 * F.col(f"s{3 * i}"), F.col(f"s{3 * i + 1}") + F.col(f"s{3 * i + 2}")) for i in range(k)]
     acc = ratio(sum((F.col(f"s{3 * i}") for i in range(k)), F.lit(0.0)), sum((F.col(f"s{3 * i + 1}") for i in range(k)), F.lit(0.0)))

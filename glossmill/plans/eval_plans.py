@@ -15,6 +15,8 @@ from glossmill.session import table
 
 NEG = "不支持"
 DRAWS = 60
+#: Draws of the reference; the queries with ``DRAWS`` are those whose SQL can be run.
+FULL_DRAWS = 5_000
 BUDGETS = (0.05, 0.1, 0.2)
 
 
@@ -171,7 +173,21 @@ def pooled_bootstrap(spark, d):
 
 def numpy_bootstrap_ci(spark, d):
     cells = bootstrap.group_cells(base.systems(spark, d), ["system"], "gkey")
-    return bootstrap.interval(bootstrap.numpy_replicates(cells, ["system"], "gkey", LABELS, 1000), ["system"], "macro_f1")
+    return bootstrap.interval(bootstrap.numpy_replicates(cells, ["system"], "gkey", LABELS, FULL_DRAWS), ["system"], "macro_f1")
+
+
+def paired_bootstrap_full(spark, d):
+    """As ``paired_bootstrap``, with the reference's number of draws."""
+    cells = bootstrap.group_cells(base.systems(spark, d), ["system"], "gkey")
+    return bootstrap.paired_delta(bootstrap.numpy_replicates(cells, ["system"], "gkey", LABELS, FULL_DRAWS), [], "system", "model", "cues", "macro_f1")
+
+
+def pooled_bootstrap_full(spark, d):
+    """As ``pooled_bootstrap``, with the reference's number of draws."""
+    cells = bootstrap.group_cells(base.systems(spark, d), ["seed", "system"], "gkey")
+    r = bootstrap.numpy_replicates(cells, ["seed", "system"], "gkey", LABELS, FULL_DRAWS)
+    per = r.groupBy("system", "replicate").agg(F.avg("accuracy").alias("accuracy"))
+    return bootstrap.paired_delta(per, [], "system", "model", "cues", "accuracy")
 
 
 def _votes(spark, d):
@@ -260,7 +276,7 @@ QUERIES = {
     for f in (
         metrics_by_system_union_labels, metrics_fixed_labels, metrics_binary, label_prf, seed_aggregate_long, seed_aggregate_wide, mcnemar_pairs, complementarity,
         alignment_sets, selective_review_budgets, review_queue, quota_topk_sample, dedup_prefer_clue, last_valid_answer, upsert_by_seed, cohen_pairs, fleiss_ac1,
-        label_distributions, repeat_stability, repeat_jaccard, hash_bootstrap_ci, paired_bootstrap, pooled_bootstrap, numpy_bootstrap_ci, rule_reliability,
+        label_distributions, repeat_stability, repeat_jaccard, hash_bootstrap_ci, paired_bootstrap, pooled_bootstrap, numpy_bootstrap_ci, paired_bootstrap_full, pooled_bootstrap_full, rule_reliability,
         rerank_predictions, governor_grid_best,
     )
 } | {"label_canonical_filter_exclusions": label_canonical_filter}

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,37 @@ def test_stratified_groups(spark, monkeypatch):
     assert max(sizes) < 1.5 * min(sizes)
     split = {r["grp"]: r["split"] for r in grouping.three_way_split(df, "grp", "y").collect()}
     assert set(split) == set(folds) and set(split.values()) == {"train", "dev", "test"}
+
+
+def test_full_bootstrap_equals_brute_force(spark, monkeypatch):
+    from glossmill.plans import base, eval_plans
+
+    rows = [(i, i % 2, f"g{i % 13}", s, "支持" if i % 3 else "不支持", "支持" if (i * 7 + k) % 4 else "不支持") for i in range(120) for k, s in enumerate(("model", "cues"))]
+    df = spark.createDataFrame(rows, "row_id int, seed int, gkey string, system string, gold string, prediction string")
+    monkeypatch.setattr(base, "systems", lambda spark, d: df)
+    monkeypatch.setattr(bootstrap, "WEIGHT_ROWS", 4)
+    draws = 5000
+    w = {g: np.random.default_rng([42, *g.encode()]).poisson(1.0, draws) for g in {r[2] for r in rows}}
+
+    def scores(part):
+        f1 = []
+        for x in base.LABELS:
+            tp, both = np.zeros(draws), np.zeros(draws)
+            for r in part:
+                tp += w[r[2]] * (r[4] == x == r[5])
+                both += w[r[2]] * ((r[4] == x) + (r[5] == x))
+            f1.append(np.divide(2 * tp, both, out=np.zeros(draws), where=both > 0))
+        n = sum(w[r[2]] for r in part)
+        right = sum(w[r[2]] * (r[4] == r[5]) for r in part)
+        return sum(f1) / 3, np.divide(right, n, out=np.zeros(draws), where=n > 0)
+
+    def bounds(d):
+        return [round(float(x), 4) for x in (d.mean(), *np.quantile(d, [0.025, 0.975]), min(1, 2 * min((d <= 1e-10).mean(), (d >= -1e-10).mean())))]
+
+    at = lambda s, *seeds: [r for r in rows if r[3] == s and r[1] in seeds]
+    got = one(eval_plans.paired_bootstrap_full(spark, ""))
+    assert [round(got[c], 4) for c in ("delta", "low", "high", "p_value")] == bounds(scores(at("model", 0, 1))[0] - scores(at("cues", 0, 1))[0])
+    got = one(eval_plans.pooled_bootstrap_full(spark, ""))
+    assert [round(got[c], 4) for c in ("delta", "low", "high", "p_value")] == bounds(sum(scores(at("model", k))[1] - scores(at("cues", k))[1] for k in (0, 1)) / 2)
+    ci = {r["system"]: r["n_draws"] for r in eval_plans.numpy_bootstrap_ci(spark, "").collect()}
+    assert ci == {"model": 5000, "cues": 5000}
