@@ -187,6 +187,18 @@ def leak_scan(spark, d):
     return govern.verbatim_leaks(table(spark, d, "documents"), needles, "doc_id", "text", "item_id", "needle", 24)
 
 
+def leak_scan_full(spark, d):
+    """Documents that hold a sentence of a test item or of a candidate verbatim; the first item and the first candidate each."""
+    docs, found = table(spark, d, "documents"), None
+    for name, key, text in (("benchmark", "item_id", "text"), ("author_written_244", "row_id", "sentence")):
+        whole = table(spark, d, name).where(F.col(text).isNotNull())
+        pieces = F.concat(F.array(F.col(text)), F.split(text, r"[。！？!?\n]+|\.(?=\s|$)"))  # whole too: of short sentences no piece is long enough
+        needles = whole.select(F.col(key).alias("needle_id"), F.explode(pieces).alias("n")).select("needle_id", F.regexp_replace("n", r"(?U)^\s+|\s+$", "").alias("needle")).distinct()
+        hits = govern.verbatim_leaks(docs, needles, "doc_id", "text", "needle_id", "needle").select("doc_id", F.lit(name).alias("source"), "needle_id")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
 def redacted_export(spark, d):
     a = table(spark, d, "author_written_244")
     return govern.redact(a, ["row_id", "item_id", "label", "gold"], ["sentence"], ["span"], {"note": "withheld"})
@@ -276,7 +288,7 @@ QUERIES = {
     for f in (
         group_ids_dups, dup_group_sizes, split_overlap_check, text_forms, sentence_split, page_topic_hints, corrections_patch, corrections_rejected, unit_split, taxonomy_templates, taxonomy_histogram,
         contract_tests, audit_bools, marker_alternation, level_normalised, ocr_range_anchor, monotone_pages, page_align_top1, page_align_classes, greedy_page_choice, dominant_offset, anchor_audit,
-        leak_scan, redacted_export, forbidden_tokens, tfidf_char_weights, class_weights, linear_model_eval, embedding_centroids, state_mix_daily, io_csv_roundtrip, io_jsonl_filter,
+        leak_scan, leak_scan_full, redacted_export, forbidden_tokens, tfidf_char_weights, class_weights, linear_model_eval, embedding_centroids, state_mix_daily, io_csv_roundtrip, io_jsonl_filter,
     )
 }
 

@@ -283,3 +283,16 @@ def test_full_bootstrap_equals_brute_force(spark, monkeypatch):
     assert [round(got[c], 4) for c in ("delta", "low", "high", "p_value")] == bounds(sum(scores(at("model", k))[1] - scores(at("cues", k))[1] for k in (0, 1)) / 2)
     ci = {r["system"]: r["n_draws"] for r in eval_plans.numpy_bootstrap_ci(spark, "").collect()}
     assert ci == {"model": 5000, "cues": 5000}
+
+
+def test_leak_scan_full_takes_all_sentences(spark, monkeypatch):
+    from glossmill.plans import text_plans
+
+    tables = {
+        "documents": spark.createDataFrame([(1, "前文。这是试题里的第二个句子没有错。后文"), (2, "前文，候选句子也要在文档里找出来，后文"), (3, "又短。也短。还短。再短。"), (4, "无关"), (5, None)], "doc_id long, text string"),
+        "benchmark": spark.createDataFrame([(7, "第一句。这是试题里的第二个句子没有错。"), (8, "又短。也短。还短。再短。"), (9, None)], "item_id long, text string"),
+        "author_written_244": spark.createDataFrame([(4, "候选句子也要在文档里找出来"), (5, "无关")], "row_id long, sentence string"),
+    }
+    monkeypatch.setattr(text_plans, "table", lambda spark, d, name: tables[name])
+    got = sorted(tuple(r) for r in text_plans.leak_scan_full(spark, "").collect())
+    assert got == [(1, "benchmark", 7), (2, "author_written_244", 4), (3, "benchmark", 8)]
