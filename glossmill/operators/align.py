@@ -39,9 +39,9 @@ def cue_hits(pages: DataFrame, cues: DataFrame, page_id: str, text: str, source:
 
 
 def page_scores(points: DataFrame, hits: DataFrame, navigation: Column | None = None) -> DataFrame:
-    """(point, source, page_id, n_cues, score): capped sum of cue weights, plus a bonus for several cues."""
+    """(point, source, page_id, n_cues, cues, score): capped sum of cue weights, plus a bonus for several cues."""
     j = points.join(hits, ["source", "cue"])
-    scored = j.groupBy("point", "source", "page_id").agg(F.count(F.lit(1)).alias("n_cues"), F.sum("weight").alias("raw"))
+    scored = j.groupBy("point", "source", "page_id").agg(F.count(F.lit(1)).alias("n_cues"), F.array_sort(F.collect_set("cue")).alias("cues"), F.sum("weight").alias("raw"))
     score = F.least(F.lit(38.0), F.col("raw")) + F.when(F.col("n_cues") >= 3, 9.0).when(F.col("n_cues") == 2, 1.5).otherwise(0.0)
     if navigation is not None:
         score = score - F.when(navigation, 80.0).otherwise(0.0)

@@ -164,7 +164,7 @@ def page_align_classes(spark, d):
 def greedy_page_choice(spark, d):
     """Up to eight pages per point, each near the best or with a new keyword."""
     s = _scored(spark, d)
-    j = s.select("point", F.col("page_id").cast("int").alias("page"), "score", F.array(F.concat(F.lit("n"), F.col("n_cues").cast("string"))).alias("words"))
+    j = s.select("point", F.col("page_id").cast("int").alias("page"), "score", F.col("cues").alias("words"))
     return ranking.greedy_pages(j, ["point"]).select("point", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 

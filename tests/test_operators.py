@@ -296,3 +296,12 @@ def test_leak_scan_full_takes_all_sentences(spark, monkeypatch):
     monkeypatch.setattr(text_plans, "table", lambda spark, d, name: tables[name])
     got = sorted(tuple(r) for r in text_plans.leak_scan_full(spark, "").collect())
     assert got == [(1, "benchmark", 7), (2, "author_written_244", 4), (3, "benchmark", 8)]
+
+
+def test_greedy_choice_keeps_pages_with_other_cues(spark, monkeypatch):
+    from glossmill.plans import text_plans
+
+    points = spark.createDataFrame([("p", "s", "甲甲", 30.0), ("p", "s", "乙乙", 9.0), ("p", "s", "丙丙", 8.5)], "point string, source string, cue string, weight double")
+    hits = spark.createDataFrame([("s", 1, "甲甲"), ("s", 2, "乙乙"), ("s", 3, "丙丙"), ("s", 4, "丙丙")], "source string, page_id long, cue string")
+    monkeypatch.setattr(text_plans, "_scored", lambda spark, d: align.page_scores(points, hits))
+    assert [tuple(r) for r in text_plans.greedy_page_choice(spark, "").collect()] == [("p", "1,2,3")]
