@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import ratio
+from glossmill.operators.metrics import union_label_metrics
 
 CLIP = 1e-4
+#: The grid of vote weights of the rerank.
+ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
 #: The grid of rule weights (accept, weak, strong) and thresholds.
 GRID = {
     "w_accept": (0.0, 0.25, 0.5, 1.0, 1.5, 2.0, 3.0),
@@ -38,10 +41,10 @@ def rule_reliability(df: DataFrame, rule: str, correct: str) -> DataFrame:
     return agg.select("rule", "support", "hits", F.round(post, 6).alias("posterior"), grade.alias("grade"), F.round(weight, 6).alias("weight"))
 
 
-def rerank(probs: DataFrame, votes: DataFrame, item: str, alpha: float) -> DataFrame:
+def rerank(probs: DataFrame, votes: DataFrame, item: str, alpha: float | Column) -> DataFrame:
     """(item, label, p): softmax of log p + alpha * mean vote weight.  probs(item, label, p), votes(item, label, weight)."""
     mean = votes.groupBy(item, "label").agg(F.avg("weight").alias("w"))
-    z = F.ln(F.greatest(F.col("p"), F.lit(1e-9))) + F.lit(float(alpha)) * F.coalesce("w", F.lit(0.0))
+    z = F.ln(F.greatest(F.col("p"), F.lit(1e-9))) + (alpha if isinstance(alpha, Column) else F.lit(float(alpha))) * F.coalesce("w", F.lit(0.0))
     scored = probs.join(mean, [item, "label"], "left").withColumn("e", F.exp(z))
     total = scored.groupBy(item).agg(F.sum("e").alias("t"))
     return scored.join(total, item).select(item, "label", F.round(F.col("e") / F.col("t"), 6).alias("p"))
@@ -53,6 +56,20 @@ def top_label(scored: DataFrame, item: str) -> DataFrame:
     return best.select(item, F.col("b.label").alias("label"), (-F.col("b.n")).alias("p"))
 
 
+def alpha_scores(probs: DataFrame, votes: DataFrame, gold: DataFrame, item: str, negative: str) -> DataFrame:
+    """(alpha, macro_f1, hard_negative_accuracy, accuracy, n_rows) of the reranked labels for every alpha of the grid.  gold(item, gold)."""
+    each = lambda df: df.withColumn("_a", F.explode(F.array(*[F.lit(a) for a in ALPHAS]))).withColumn("_k", F.struct(F.col("_a").alias("alpha"), F.col(item).alias("item"))).drop("_a", item)
+    top = top_label(rerank(each(probs), each(votes), "_k", F.col("_k.alpha")), "_k")
+    known = top.select(F.col("_k.alpha").alias("alpha"), F.col("_k.item").alias(item), F.col("label").alias("prediction")).join(gold, item)
+    return union_label_metrics(known, ["alpha"], negative)
+
+
+def best_alpha(scores: DataFrame) -> float:
+    """Highest macro-F1, then hard-negative accuracy (0 where there is none), then accuracy, then the smallest alpha; 0.0 without scores."""
+    rows = scores.collect()  # one row per alpha
+    return min(rows, key=lambda r: (-r["macro_f1"], -(r["hard_negative_accuracy"] or 0.0), -r["accuracy"], r["alpha"]))["alpha"] if rows else 0.0
+
+
 def weight_grid(spark) -> DataFrame:
     rows = [(i, *[float(x) for x in combo]) for i, combo in enumerate(product(*GRID.values()))]
     return spark.createDataFrame(rows, "grid int, " + ", ".join(f"{k} double" for k in GRID))

@@ -305,3 +305,19 @@ def test_greedy_choice_keeps_pages_with_other_cues(spark, monkeypatch):
     hits = spark.createDataFrame([("s", 1, "甲甲"), ("s", 2, "乙乙"), ("s", 3, "丙丙"), ("s", 4, "丙丙")], "source string, page_id long, cue string")
     monkeypatch.setattr(text_plans, "_scored", lambda spark, d: align.page_scores(points, hits))
     assert [tuple(r) for r in text_plans.greedy_page_choice(spark, "").collect()] == [("p", "1,2,3")]
+
+
+def test_rerank_alpha_is_chosen_on_dev(spark, monkeypatch):
+    from glossmill.plans import eval_plans
+
+    row = lambda i, split, gold, pred, c, rule: (i, split, gold, pred, c, rule, int(gold == pred))
+    rows = [row(i, "train", "支持", "支持", 0.9, "good") for i in range(40)]
+    # a label that needs a weight of more than ln(0.35 / 0.3) / 0.976 = 0.158 from its rule to come out on top
+    rows += [row(100 + i, s, "支持", "支持", 0.3, "good") for s, i in (("dev", 0), ("dev", 1), ("test", 2))]
+    rows += [row(200 + i, s, "不支持", "不支持", 0.9, "other") for s, i in (("dev", 0), ("test", 1))]
+    df = spark.createDataFrame(rows, "row_id int, split string, gold string, prediction string, confidence double, rule string, correct int")
+    monkeypatch.setattr(eval_plans, "_votes", lambda spark, d: df)
+    used = []
+    monkeypatch.setattr(tune, "rerank", lambda p, v, k, a, plain=tune.rerank: (used.append(a), plain(p, v, k, a))[1])
+    got = {r["row_id"]: r["label"] for r in eval_plans.rerank_predictions_tuned(spark, "").collect()}
+    assert got == {102: "支持", 201: "不支持"} and used[-1] == 0.25
