@@ -1,25 +1,31 @@
 """Text cut off by field limits or in transfer.
 
-Method: one pass over whole texts with a stack automaton for structure, and a look at how the text ends.
+Method: one pass over whole texts with a stack automaton for structure, a look at how the text ends, and the source's
+baselines, which are counted over all documents.
 
-* A text ending in a broken multibyte sequence or an unfinished escape or tag is cut.
-* Quotes and brackets are pushed and popped through the whole text; one still open in the last sentence means a cut.
+* A text ending in a broken multibyte sequence or an unfinished escape, entity, comment or tag is cut.
+* Quotes (curved, corner and straight), brackets, markup elements and code fences are pushed and popped through the
+  whole text.  A quote or bracket still open in the last sentence means a cut, and so does an element or fence that is
+  still open anywhere.  A quote left open in an earlier sentence says nothing about the end.
 * A mark that stands for missing text (``…``, ``...``) at the end is taken off; what is left must be whole.
 * A text whose last sentence has its terminator is complete; so is one that ends in a closed bracket or sign.
-* A last sentence without terminator is judged by a model of sentence completeness, and by the source's baseline: how
-  often, among the source's texts of just this length, the terminator is missing.  A source that cuts at a limit has
-  many texts of exactly that length without one.
-
-The completeness model is trained here, on the corpus itself: whole sentences, taken between two terminators, against
-prefixes of such sentences, as a logistic regression on hashed features of how a sentence starts, how its last clause
-starts, and how it ends.  Its weights are fitted on at most ``SAMPLE_SENTENCES`` sentences of documents chosen by hash;
-everything else, openings and baselines included, covers all documents.  A last line whose opening no sentence of the
-documents shares, or more last lines without terminator than sentences (signature, list, key words, page number), is a
-closing line, not a sentence, and complete.  Where its source is proven to cut at just this length, it is a closing
-line only if other texts end with that opening too.
-
-Defined cases: null and empty texts, and texts of blanks, are no case; repeated texts are judged alike; a very long
-text costs time linear in its length; an empty table gives no rows.
+* A missing terminator is judged against the source: how often its sentences have one, and how often the texts of just
+  this length lack it.  Where the source ends its sentences with terminators, a last sentence without one is cut.
+
+Two kinds of complete text lack a terminator and have no structure that tells so.  Closing lines (signature, list, key
+words, page number) are short lines of their own, or interjections, whose opening more texts end with than sentences
+start with.  Whole sentences without full stop are told from prefixes by a model of sentence completeness, which is
+asked only where the documents know the sentence's opening; elsewhere it has no basis and the source's baseline decides.
+The model is trained here, on the corpus itself: whole sentences, taken between two terminators, against prefixes of
+such sentences, as a logistic regression on hashed features.  Its weights are fitted on about ``SAMPLE_SENTENCES``
+sentences of about ``SAMPLE_DOCS`` documents chosen by hash of their id, whatever the corpus holds; openings, closing
+lines and baselines cover all documents.
+
+The corpus is read once: the pass writes one short row per document, and per task the counts of sentence openings and
+the sentences of sampled documents; everything else reads that table.
+
+Defined cases: null and empty texts, and texts of blanks, are no case; repeated texts are judged alike; a null source is
+a source of its own; a very long text costs time linear in its length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +36,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.session import materialize
 
+#: Bounds of the model's training set: documents whose sentences are offered, and sentences taken from them.
 SAMPLE_SENTENCES = 12_000
 SAMPLE_DOCS = 1_500
 HASH_BITS = 18
@@ -47,23 +55,36 @@ OPENING_SUPPORT = 2
 OPENINGS_HELD = 200_000
 #: A last line of at most so many words, or ideographs, may be a closing line that opens like a sentence.
 SHORT_LINE = (6, 14)
+#: At most so many words, or ideographs, within a line may be an interjection.
+INTERJECTION = (2, 4)
 #: Length classes with at least this many texts, most of them without terminator, are a source's limit.
 LIMIT_SUPPORT = 3
 LIMIT_WEIGHT = 2.0
 #: A limit is proven where chance, at the source's own rate, is below about exp(-LIMIT_PROOF) for so many without terminator.
 LIMIT_PROOF = 16.0
+#: A source that ends at least this share of its inner sentences and lines with a terminator expects one at the end.
+TERMINATED = 0.7
 
 TERMINATORS = "。！？!?｡．"
 CLOSERS = "”’」』）)】》〉]\"'"
 PAIRS = {"“": "”", "‘": "’", "「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "《": "》", "[": "]", "{": "}"}
 _OPENER = {b: a for a, b in PAIRS.items()}
-_STRUCT = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
+_STRUCT = re.compile(
+    r"<(/?)([A-Za-z][\w:-]*)(?:\s[^<>]*?)?(/?)>|^[ \t]*(```)|[" + re.escape("".join(PAIRS) + "".join(PAIRS.values()) + '"') + "]", re.M
+)
+#: Elements without end tag, and those whose end tag may be left out.
+UNCLOSED_TAGS = frozenset("area base br col embed hr img input link meta source track wbr p li dt dd tr td th thead tbody tfoot option optgroup colgroup rt rp".split())
 _MARK = re.compile(r"[\s\[(（【]*(?:…+|\.{2,}|⋯+)[\s\])）】]*$")
-_ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|&#\w{0,7}|&(?:n|nb|nbs|nbsp|a|am|amp|l|lt|g|gt|q|qu|quo|quot)?|<[A-Za-z/!][^<>]*)$")
+_ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|(?:%[0-9A-Fa-f]{2})+%[0-9A-Fa-f]?|&#\w{0,7}|&(?:n|nb|nbs|nbsp|a|am|amp|l|lt|g|gt|q|qu|quo|quot)?)$")
+_ATTRIBUTE = r"""\s+[\w:@.-]+(?:\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'<>=]*))?"""
+_OPEN_TAG = re.compile(rf"(?:/?[A-Za-z][\w:-]*(?:{_ATTRIBUTE})*\s*/?|/|!(?:-[^>]*|D\w*[^>]*|\[[^>]*)?)$")
 _BOUND = re.compile(rf"(?:[{TERMINATORS}]|(?<![\d.])\.(?=[\s\"'”’)\]]|[\u2e80-\U0003ffff]|$))[{re.escape(CLOSERS)}]*|\n+")
 _SIGN = re.compile(r"(?:[\s~～♪^_\-=+*#@:;]|[☀-➿]|[\U0001F300-\U0001FAFF])+$")
 _TAG = re.compile(r"\s#\S+\s*$")
 _CLAUSE = re.compile(r"[，,；;：:、]\s*")
+_LEAD = "“‘「『（(【《\"' \t"
+#: The first three words, or ideographs, of what stands at a place.
+_HEAD = re.compile(rf"[{re.escape(_LEAD)}]*((?:[A-Za-z]+|[^\s{TERMINATORS}])(?:[ \t]*(?:[A-Za-z]+|[^\s{TERMINATORS}])){{0,2}})")
 
 
 def _h(s: str) -> int:
@@ -183,22 +204,82 @@ def fit(whole: list[str], seed: int = 7) -> Completeness:
     return Completeness(w.astype(np.float32))
 
 
-def open_structure(text: str) -> bool:
-    """Whether a quote or bracket of the last sentence is still open at the end of the whole text."""
+def bounds_of(text: str) -> list[tuple[int, int, bool]]:
+    """(from, to, line): ends of sentences with their closers, and line breaks."""
+    return [(m.start(), m.end(), text[m.start()] == "\n") for m in _BOUND.finditer(text)]
+
+
+def open_structure(text: str, last: int | None = None) -> bool:
+    """Whether the stack of the whole text still holds, at its end, an element, a fence, or a quote or bracket opened at
+    ``last`` (the start of the last sentence) or later."""
+    if last is None:
+        last = _last_start(bounds_of(text), len(text))[0]
     stack: list[tuple[str, int]] = []
+    held: Counter = Counter()
+
+    def close(mark: str) -> None:
+        while True:
+            top = stack.pop()[0]
+            held[top] -= 1
+            if top == mark:
+                return
+
     for m in _STRUCT.finditer(text):
-        c = m.group(0)
-        if c in PAIRS:
-            stack.append((c, m.start()))
-        elif stack and any(o == _OPENER[c] for o, _ in stack[-3:]):
-            while stack.pop()[0] != _OPENER[c]:
-                pass
-    for _, at in stack:
-        after = text[at:].rstrip()
-        bounds = [m for m in _BOUND.finditer(after)]
-        if not bounds or (len(bounds) == 1 and bounds[0].end() >= len(after) and "\n" not in bounds[0].group(0)):
-            return True
-    return False
+        c, at = m.group(0), m.start()
+        if m.group(4):
+            if held["```"]:
+                close("```")
+            else:
+                stack.append(("```", at))
+                held["```"] += 1
+        elif held["```"]:
+            continue
+        elif m.group(2):
+            name = "<" + m.group(2).lower()
+            if name[1:] in UNCLOSED_TAGS or m.group(3):
+                continue
+            if m.group(1):
+                if held[name]:
+                    close(name)
+            else:
+                stack.append((name, at))
+                held[name] += 1
+        elif c == '"':
+            if held[c]:
+                since = next(p for mark, p in reversed(stack) if mark == c)
+                if "\n" not in text[since:at]:
+                    close(c)
+                    continue
+            if at and (text[at - 1].isdigit() or (text[at - 1].isascii() and text[at - 1].isalpha())):
+                continue  # inches, or a stray closing quote
+            stack.append((c, at))
+            held[c] += 1
+        elif c in PAIRS:
+            if c == "(" and at and text[at - 1] in ":;=-":
+                continue  # a face
+            stack.append((c, at))
+            held[c] += 1
+        elif held[_OPENER[c]]:
+            close(_OPENER[c])
+    return any(at >= last or mark[0] in "<`" for mark, at in stack)
+
+
+def _last_start(bounds: list[tuple[int, int, bool]], n: int) -> tuple[int, int]:
+    """(start, index): where the last sentence of the first ``n`` characters starts, and the bound before it or -1."""
+    k = len(bounds) - 1
+    while k >= 0 and bounds[k][1] >= n:
+        k -= 1
+    return (bounds[k][1] if k >= 0 else 0), k
+
+
+def unfinished(t: str) -> bool:
+    """Whether ``t`` ends within a multibyte sequence, an escape, an entity, a comment or a tag, however long."""
+    if t[-1] == "\ufffd" or "\ud800" <= t[-1] <= "\udfff" or _ESCAPE.search(t[-40:]):
+        return True
+    at = t.rfind("<")
+    if t.rfind("<!--") > t.rfind("-->"):
+        return True
+    return at >= 0 and ">" not in t[at:] and _OPEN_TAG.match(t, at + 1) is not None
 
 
 def ending(text: str) -> tuple[str, str, bool]:
@@ -206,19 +287,29 @@ def ending(text: str) -> tuple[str, str, bool]:
 
     Kinds: 'empty', 'broken', 'open', 'done', 'marked' (a mark of missing text), 'bare' (no terminator).
     """
+    t = trimmed(text)
+    return ending_of(t, bounds_of(t))
+
+
+def trimmed(text: str) -> str:
     t = text.rstrip()
-    while t and (t[-1] in "​‌‍⁠﻿­" or t[-1].isspace()):
+    while t and (t[-1] in "\u200b\u200c\u200d\u2060\ufeff\u00ad" or t[-1].isspace()):
         t = t[:-1]
+    return t
+
+
+def ending_of(t: str, bounds: list[tuple[int, int, bool]]) -> tuple[str, str, bool]:
+    """As ``ending`` for a trimmed text and its bounds."""
     if not t:
         return "empty", "", False
-    if t[-1] == "�" or "\ud800" <= t[-1] <= "\udfff" or _ESCAPE.search(t[-40:]):
+    if unfinished(t):
         return "broken", "", False
-    marked = _MARK.search(t)
+    marked = _MARK.search(t, max(0, len(t) - 80))
     if marked and marked.start() > 0:
         t = t[: marked.start()].rstrip()
         if t and t[-1] in TERMINATORS + ".":
             return "done", "", False
-    elif open_structure(t):
+    elif open_structure(t, _last_start(bounds, len(t))[0]):
         return "open", "", False
     else:
         stripped = _TAG.sub("", _SIGN.sub("", t)) or t
@@ -227,43 +318,92 @@ def ending(text: str) -> tuple[str, str, bool]:
     core = t.rstrip(CLOSERS)
     if not marked and core and (core[-1] in TERMINATORS or (core[-1] == "." and not core.endswith(".."))):
         return "done", "", False
-    if not marked and t[-1] in "）)】]》〕}" and core != t:
+    if not marked and t[-1:] in tuple("）)】]》〕}") and core != t:
         return "done", "", False
-    last, own_line = 0, False
-    for m in _BOUND.finditer(t):
-        if m.end() < len(t):
-            last = m.end()
-            own_line = "\n" in m.group(0) or t[last : last + 1] == "\n"
+    last, k = _last_start(bounds, len(t))
+    own_line = k >= 0 and (bounds[k][2] or t[last : last + 1] == "\n")
     return ("marked" if marked else "bare"), t[last:].strip(), own_line
 
 
-def training_sentences(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, limit: int = SAMPLE_SENTENCES) -> list[str]:
-    """At most ``limit`` sentences, those of smallest hash within about ``sample_docs`` documents chosen by hash.
+_SURVEY = "row string, doc_id long, source string, n int, kind string, frag string, own_line boolean, ends long, lines long, k long"
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def survey(docs: DataFrame, sample_docs: int | None = None) -> DataFrame:
+    """One read of the corpus, written once, with rows of three sorts.
 
-    Repeated sentences stay: how often a sentence occurs is part of what is learned.
+    ``row`` 'd': a document, how it ends, and how many inner sentences and lines have (``ends``) or lack (``lines``) a
+    terminator.  'h': a sentence opening of up to three words (``frag``) with its count ``k`` in a task.  's': a sentence
+    (``frag``) of a sampled document with its hash ``k``.  Repeated sentences stay: how often a sentence occurs is part of what is learned.
     """
-    texts = docs.where(F.length("text") > 0).select("text")
-    share = min(1.0, sample_docs / max(1, texts.count()))
-    picked = texts.where(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
+    wanted = SAMPLE_DOCS if sample_docs is None else sample_docs
+    share = min(1.0, wanted / max(1, docs.count()))
+    chance = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(11), "text")).otherwise(F.xxhash64(F.lit(11), "doc_id"))
+    picked = F.shiftrightunsigned(chance, 1) <= F.lit(min(int(share * (1 << 63)), (1 << 63) - 1))
+    texts = docs.where(F.length("text") > 0).select("doc_id", "source", "text", picked.alias("picked"))
+    schema = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in _SURVEY.split(", ")])
+
+    def read(batches):
+        heads: Counter = Counter()
+
+        def pack(rows):
+            columns = zip(*rows) if rows else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+        def counts():
+            return pack([("h", None, None, None, None, h, None, None, None, k) for h, k in heads.items()])
+
+        for batch in batches:
+            out = []
+            for doc_id, source, text, sampled in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "text", "picked"))):
+                t = trimmed(text)
+                bounds = bounds_of(t)
+                at, ends, lines = 0, 0, 0
+                for start, stop, line in bounds:
+                    if line:
+                        lines += bool(t[at:start].strip())
+                    else:
+                        ends += 1
+                        m = _HEAD.match(t, at)
+                        if m:
+                            heads[m.group(1)] += 1
+                        if sampled:
+                            s = t[at:start].strip()
+                            if 1 < len(s) <= 400:
+                                key = zlib.crc32(f"{ends}|{len(t)}|{s}".encode("utf-8", "surrogatepass"))
+                                out.append(("s", None, None, None, None, s, None, None, None, key))
+                    at = stop
+                kind, frag, own_line = ending_of(t, bounds)
+                out.append(("d", doc_id, source, len(text), kind, frag, own_line, ends, lines, None))
+            yield pack(out)
+            if len(heads) >= OPENINGS_HELD:
+                yield counts()
+                heads.clear()
+        yield counts()
+
+    return materialize(texts.mapInArrow(read, _SURVEY), "survey")
+
+
+def sampled_sentences(rows: DataFrame, limit: int) -> list[str]:
+    """About ``limit`` of the sampled sentences, chosen by hash; what reaches the driver never grows beyond that."""
+    offered = rows.where("row = 's'").select("frag", "k")
+    n = offered.count()
+    kept = offered if n <= limit else offered.where(F.col("k") < F.lit(int((1 << 32) * limit / n)))
+    return [r["frag"] for r in sorted(kept.collect(), key=lambda r: (r["k"], r["frag"]))]
 
-    def cut(batches):
-        for pdf in batches:
-            found = [(s, zlib.crc32(f"{k}|{len(t)}|{s}".encode())) for t in pdf["text"] for k, s in enumerate(sentences(t)) if len(s) <= 400]
-            yield pd.DataFrame(found, columns=["s", "k"])
 
-    rows = picked.mapInPandas(cut, "s string, k long").orderBy("k", "s").limit(limit).collect()
-    return [r["s"] for r in rows]
+def training_sentences(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, limit: int = SAMPLE_SENTENCES) -> list[str]:
+    """About ``limit`` sentences of about ``sample_docs`` documents, both chosen by hash."""
+    return sampled_sentences(survey(docs, sample_docs), limit)
 
 
-def source_limits(docs: DataFrame) -> DataFrame:
+def source_limits(ends: DataFrame) -> DataFrame:
     """(source, n, limit_share, proven): share of texts of a source and length without terminator, where it marks a limit.
 
     Among many lengths some have mostly texts without terminator by chance; ``proven`` are those that Chernoff's bound
     excludes at the share of such texts in the whole source.
     """
-    t = F.regexp_replace(F.col("text"), r"(?U)\s+$", "")
-    done = t.rlike(rf"[{TERMINATORS}.][{re.escape(CLOSERS)}]*$")
-    lengths = docs.where(F.length("text") > 0).select("source", F.length("text").alias("n"), done.alias("done"))
+    lengths = ends.where("kind <> 'empty'").select("source", "n", (F.col("kind") == "done").alias("done"))
     per = lengths.groupBy("source", "n").agg(F.count(F.lit(1)).alias("texts"), F.sum((~F.col("done")).cast("long")).alias("bare"))
     rate = per.groupBy("source").agg((F.sum("bare") / F.sum("texts")).alias("p"))
     limit = per.where((F.col("bare") >= LIMIT_SUPPORT) & (F.col("bare") >= 0.6 * F.col("texts"))).join(rate, "source")
@@ -273,73 +413,95 @@ def source_limits(docs: DataFrame) -> DataFrame:
     return limit.select("source", "n", share.alias("limit_share"), proven.alias("proven"))
 
 
-def known_openings(docs: DataFrame) -> DataFrame:
-    """(opening, sentences): openings that at least ``OPENING_SUPPORT`` whole sentences of all documents share.
+def source_baselines(ends: DataFrame) -> DataFrame:
+    """(source, terminated): share of the ends of sentences and lines within a source's texts that have a terminator."""
+    return ends.groupBy("source").agg((F.sum("ends") / F.greatest(F.sum("ends") + F.sum("lines"), F.lit(1))).alias("terminated"))
 
-    Sentences are reduced to counts of their first three words in each task, and only distinct ones are taken apart.
-    """
 
-    def heads(batches):
-        seen: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                seen.update("\x1f".join(_words(s)[:3]) for s in sentences(t))
-                if len(seen) >= OPENINGS_HELD:
-                    yield pd.DataFrame({"head": list(seen), "n": list(seen.values())})
-                    seen.clear()
-        yield pd.DataFrame({"head": list(seen), "n": list(seen.values())}).astype({"head": "object", "n": "int64"})
+def known_openings(rows: DataFrame) -> DataFrame:
+    """(opening, sentences): openings that at least ``OPENING_SUPPORT`` whole sentences of all documents share."""
 
     def parts(batches):
         for pdf in batches:
             seen: Counter = Counter()
-            for h, n in zip(pdf["head"], pdf["n"]):
-                for k in _opening_parts(h.split("\x1f") if h else []):
+            for h, n in zip(pdf["frag"], pdf["n"]):
+                for k in _opening_parts(_words(h)[:3]):
                     seen[k] += n
             yield pd.DataFrame({"opening": list(seen), "n": list(seen.values())}).astype({"opening": "object", "n": "int64"})
 
-    texts = docs.where(F.length("text") > 0).select("text")
-    counted = texts.mapInPandas(heads, "head string, n long").groupBy("head").agg(F.sum("n").alias("n"))
-    return counted.mapInPandas(parts, "opening string, n long").groupBy("opening").agg(F.sum("n").alias("n")).where(F.col("n") >= OPENING_SUPPORT).withColumnRenamed("n", "sentences")
+    counted = rows.where("row = 'h'").groupBy("frag").agg(F.sum("k").alias("n"))
+    parted = counted.mapInPandas(parts, "opening string, n long").groupBy("opening").agg(F.sum("n").alias("n"))
+    return parted.where(F.col("n") >= OPENING_SUPPORT).withColumnRenamed("n", "sentences")
+
 
+_JUDGED = "doc_id long, source string, n int, kind string, own_line boolean, score double, opening string, brief int"
 
-def judged(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, kind, score, opening, n): every non-empty text with how it ends; ``opening`` of bare ones only."""
-    model = fit(training_sentences(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(model.weights.tobytes())
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Every document's ending with the model's score of its fragment, the fragment's opening, and ``brief``: 2 for a
+    fragment short enough for an interjection, 1 for a short line, 0 for a longer one."""
+    model = fit(sampled_sentences(rows, SAMPLE_SENTENCES))
+    shared = rows.sparkSession.sparkContext.broadcast(model.weights.tobytes())
 
     def judge(batches):
         m = Completeness(np.frombuffer(shared.value, dtype=np.float32))
         for pdf in batches:
-            kinds, scores, openings = [], [], []
-            for text in pdf["text"]:
-                kind, frag, own_line = ending(text)
-                kinds.append(kind)
+            scores, openings, briefs = [], [], []
+            for kind, frag, own_line in zip(pdf["kind"], pdf["frag"], pdf["own_line"]):
                 scores.append(m.score(frag) if frag else 0.0)
-                openings.append(_opening_key(frag, own_line) if frag and kind == "bare" else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "kind": kinds, "score": scores, "opening": openings, "n": pdf["n"]})
+                openings.append(_opening_key(frag, bool(own_line)) if frag and kind == "bare" else None)
+                briefs.append(_brief(frag) if frag else 0)
+            yield pdf[["doc_id", "source", "n", "kind", "own_line"]].assign(score=scores, opening=openings, brief=briefs)
+
+    ends = rows.where("row = 'd'").select("doc_id", "source", "n", "kind", "own_line", "frag")
+    return ends.mapInPandas(judge, _JUDGED)
 
-    texts = docs.where(F.length("text") > 0).select("doc_id", "source", "text", F.length("text").alias("n"))
-    return texts.mapInPandas(judge, "doc_id long, source string, kind string, score double, opening string, n int")
+
+def _brief(s: str) -> int:
+    w = _words(s)
+    latin = bool(w) and w[0].isascii() and w[0].isalpha()
+    return 2 if len(w) <= INTERJECTION[not latin] else 1 if len(w) <= SHORT_LINE[not latin] else 0
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """(doc_id, source, cut): the verdict on every non-empty text."""
-    # a text without opening gets one of its own that no sentence has, so that such texts don't meet in one task
-    alone = F.concat(F.lit("\x1f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = materialize(judged(docs).withColumn("opening", F.coalesce("opening", alone)), "judged")
-    limits = source_limits(docs)
-    lines = rows.where(F.col("kind") == "bare").groupBy("opening").agg(F.count(F.lit(1)).alias("lines"))
-    known = F.coalesce("sentences", F.lit(0)) > F.col("lines")
-    seen = lines.join(known_openings(docs), "opening", "left").select("opening", known.alias("known"), (~known & (F.col("lines") >= OPENING_SUPPORT)).alias("closing"))
-    joined = rows.join(limits, ["source", "n"], "left").join(seen, "opening", "left")
+    return reasons(docs).select("doc_id", "source", F.col("reason").isNotNull().alias("cut"))
+
+
+def reasons(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, reason): why a non-empty text counts as cut, null for complete ones.
+
+    Reasons: 'broken', 'open', 'marked', 'limit' and 'terminator' (missing, by the source's baselines), and
+    'prefix' (missing, and the model takes the sentence for a prefix).
+    """
+    rows = survey(docs)
+    ends = materialize(judged(rows), "judged").where("kind <> 'empty'")
+    whole = rows.where("row = 'd' and kind <> 'empty'")
+    source = F.coalesce("source", F.lit("\x1f"))
+    limits = source_limits(whole.withColumn("source", source)).withColumnRenamed("source", "skey")
+    base = source_baselines(whole.withColumn("source", source)).withColumnRenamed("source", "skey")
+    marked = ends.withColumn("skey", source).join(limits, ["skey", "n"], "left").join(base, "skey", "left")
     score = F.col("score") - F.coalesce(F.col("limit_share"), F.lit(0.0)) * LIMIT_WEIGHT
-    sentence = F.coalesce("known", F.lit(False)) | (F.coalesce("proven", F.lit(False)) & ~F.coalesce("closing", F.lit(False)))
-    cut = (
-        F.col("kind").isin("broken", "open")
-        | ((F.col("kind") == "marked") & (score < LIMIT_WEIGHT))
-        | ((F.col("kind") == "bare") & sentence & (score < 0))
+    plain = marked.where("kind <> 'bare'").select(
+        "doc_id", "source",
+        F.when(F.col("kind").isin("broken", "open"), F.col("kind"))
+        .when((F.col("kind") == "marked") & (score < LIMIT_WEIGHT), F.lit("marked"))
+        .alias("reason"),
+    )
+    bare = marked.where("kind = 'bare'").withColumn("score", score)
+    lines = ends.where("kind = 'bare'").groupBy("opening").agg(F.count(F.lit(1)).alias("closings"))
+    seen = lines.join(known_openings(rows), "opening", "left").select(
+        "opening", (F.coalesce("sentences", F.lit(0)) > F.col("closings")).alias("known"), (F.col("closings") >= OPENING_SUPPORT).alias("often")
+    )
+    bare = bare.join(seen, "opening", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("known", "often", "proven")})
+    closing = ~F.col("known") & F.when(F.col("own_line"), F.col("brief") > 0).otherwise((F.col("brief") == 2) & F.col("often"))
+    expected = F.col("terminated") >= TERMINATED
+    reason = (
+        F.when(F.col("known"), F.when(F.col("score") < 0, F.lit("prefix")))
+        .when(F.col("proven") & ~F.col("often") & (F.col("score") < 0), F.lit("limit"))
+        .when(~closing & expected, F.lit("terminator"))
     )
-    return joined.where(F.col("kind") != "empty").select("doc_id", "source", cut.alias("cut"))
+    return plain.unionByName(bare.select("doc_id", "source", reason.alias("reason")))
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:

@@ -330,3 +330,32 @@ def test_proven_source_limit_needs_no_known_opening(spark):
     df = docs(spark, whole + texts + thanks)
     got = {r["doc_id"] for r in truncation.cut_documents(df).collect()}
     assert got == set(range(200, 210))  # three of a length are no proof
+
+
+def test_rare_openings_are_cut_by_the_sources_baseline(spark):
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(n))
+    words = lambda n: " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4))) for _ in range(n))
+    known = corpus(rng, 300)
+    chinese = ["".join(han(rng.randrange(9, 20)) + "。" for _ in range(4)) for _ in range(400)]
+    english = [" ".join(words(rng.randrange(5, 12)).capitalize() + "." for _ in range(4)) for _ in range(400)]
+    cut = [t + han(8) for t in chinese[:200]] + [t + " " + words(6).capitalize() for t in english[:100]] + [t + " Tariffs distort large and many differ" for t in english[100:200]]
+    whole = chinese[200:] + english[200:] + [t + "\n——" + han(2) for t in chinese[200:300]] + [t + "哈哈" for t in chinese[300:320]]
+    texts = known + cut + whole
+    rows = [(i, t, "known" if i < 300 else "other") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"] for r in truncation.cut_documents(df).collect()}
+    want = set(range(300, 700))
+    assert len(got & want) >= 0.9 * len(want)
+    assert len(got - want) <= 0.02 * len(rows)
+
+
+def test_structure_of_whole_texts():
+    kind = lambda t: truncation.ending(t)[0]
+    assert kind("<div>第一句。第二句。") == "open" and kind("<div>第一句。</div>") == "bare" and kind("<p>第一句。<br>第二句。") == "done"
+    assert kind('He said "the first one. And then.') == "done" and kind('He left. She said "the first one') == "open" and kind('He said "yes."') == "done"
+    assert kind('A pipe of 5" and one more.') == "done" and kind("Look :( it is gone.") == "done"
+    assert kind("说明。\n```\ncode.") == "open" and kind("说明。\n```\ncode.\n```\n完。") == "done"
+    assert kind("文。<a href=\"https://example.org/" + "x" * 200) == "broken" and kind("文。<!-- " + "注" * 100) == "broken" and kind("当 a <b 时，结果很长很长，" * 9 + "所以。") == "done"
+    assert kind("地址%E4%BD%A") == "broken" and kind("占100%") == "bare"
+    assert kind("“" + "（一）" * 5000 + "完”。") == "done" and kind("「一『二（三）四』五。") == "open"
