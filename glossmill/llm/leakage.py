@@ -1,6 +1,6 @@
 """Evaluation texts leaking into training text.
 
-Method: the documents of a task are concatenated into shards, and each shard gets an FM-index: a suffix array by
+Method: the documents of a task are concatenated into shards, and each shard gets one FM-index: a suffix array by
 prefix doubling, its Burrows-Wheeler transform in a wavelet matrix with rank counters, and text positions sampled at
 every ``SAMPLE``-th place.  Phrases of the test items, short windows that start every ``STRIDE`` symbols, are searched
 backward, all at once, through the wavelet ranks.  Their occurrences are located by walking to sampled positions, turned
@@ -9,19 +9,28 @@ match in both directions over isolated changed, lost or added characters, and ke
 The stretches of a document are merged into spans to remove.
 
 Texts are compared by letters, digits and ideographs only, without case, accents or width, look-alikes as one.  Nothing
-is shuffled: documents stay where they were read.  The test items are broadcast in blocks of at most ``BLOCK_CHARS``
-characters, so what is broadcast never grows beyond that bound; each further block is another pass.
-
-Guarantee of the phrases: a stretch is nominated when exact runs of at least ``q + STRIDE - 1`` symbols (``q`` is 8 for
-ideographs, 16 for letters) hold a tenth of the item on one band of diagonals.
-
-Defined cases: null and empty texts hold nothing; items without letters are skipped; equal items are all reported;
-a document delivered again is reported again; documents longer than a shard are cut into overlapping pieces; ties
-don't matter, since every qualifying pair is kept.  Empty tables give no rows.
+of the corpus is shuffled: documents stay where they were read, and are read and indexed once.  The test items are
+prepared in blocks of about ``BLOCK_CHARS`` characters, written to the shared folder; a task holds one block at a time
+and searches all blocks in the same index, so neither driver nor tasks ever hold more than a block, or one longer item.
+Broadcast is only the table from code points to symbols, which Unicode bounds.
+
+Guarantee of the phrases: a stretch is nominated when exact runs of at least ``q + STRIDE - 1`` symbols (``q`` is 6 for
+ideographs, 12 for letters) hold a twentieth of the item, or of ``LONG`` symbols of a longer one, on one band of diagonals.
+Phrases that more than ``STOCK`` different items share (stock instructions) are not multiplied by all those items:
+where at most a quarter of an item is stock, its other phrases nominate it, with so many fewer as it has stock ones, and
+at least one.  That nominates every pair which all phrases together would, unless no other phrase of the item is hit.
+
+Documents longer than a shard are indexed in overlapping pieces, but stretches are extended over the whole document, so
+a stretch may be longer than a shard, and an item too.
+
+Defined cases: null and empty texts hold nothing; items without letters are skipped; equal items are searched once and
+all reported; a document delivered again is reported again; ties don't matter, since every qualifying pair is kept.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from dataclasses import dataclass
 
@@ -31,17 +40,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm.lookalike import TWINS
+from glossmill.session import new_path
 
 SHARD = 1 << 20
 SAMPLE = 4
-STRIDE = 4
-WEIGHT = 16
+STRIDE = 2
+WEIGHT = 12
 IDEOGRAPH_WEIGHT = 2
 BAND = 16
-NOMINATE = 0.1
+NOMINATE = 0.05
 MIN_SHARE = 0.5
 RESUME = 3
 BLOCK_CHARS = 2_000_000
+LONG = 4096
+STOCK = 32
+#: Rows of (occurrence, item) a task expands at a time, unless one document alone has more.
+CHUNK = 2_000_000
 
 
 def folding() -> np.ndarray:
@@ -67,61 +81,89 @@ def code_points(text: str) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Test items as symbols, and their phrases: unique windows with where they come from."""
+    """A block of different test items as symbols, and their phrases: unique windows with where they come from."""
 
-    lookup: np.ndarray  # code point -> symbol; 0 is formatting
-    bits: int
-    ids: np.ndarray
+    ids: list[list[int]]  # all items of this text
     symbols: list[np.ndarray]
     phrases: np.ndarray  # one row per unique window, right-aligned, 0 where shorter
-    lengths: np.ndarray
     origin: np.ndarray  # sorted rows (phrase, item, offset)
     first: np.ndarray  # phrase -> first row in origin
+    need: np.ndarray  # hits on one band that nominate the item
 
 
-def prepare(items: list[tuple[int, str]]) -> Items | None:
+@dataclass
+class Alphabet:
+    """Symbols of all items: those of formatting are 0, characters no item has are one symbol."""
+
+    lookup: np.ndarray  # code point -> symbol
+    bits: int
+    weight: np.ndarray  # symbol -> share of a phrase
+
+
+def alphabet_of(characters: list[str]) -> Alphabet:
     fold = folding()
-    folded = [(i, fold[code_points(t or "")]) for i, t in items]
-    folded = [(i, f[f > 0]) for i, f in folded]
-    folded = [(i, f) for i, f in folded if len(f)]
-    if not folded:
+    points = np.array([ord(c) for c in characters if len(c) == 1], dtype=np.int64)
+    used = np.unique(fold[points]) if len(points) else np.zeros(0, dtype=np.uint32)
+    used = used[used > 0]
+    other = len(used) + 1
+    kind = np.uint16 if other < 1 << 16 else np.uint32
+    code = np.zeros(0x110000, dtype=kind)
+    code[used] = np.arange(1, other)
+    lookup = np.where(fold > 0, np.where(code[fold] > 0, code[fold], other), 0).astype(kind)
+    weight = np.zeros(other + 1, dtype=np.int64)
+    weight[1:other] = np.where(used >= 0x2E80, IDEOGRAPH_WEIGHT, 1)
+    return Alphabet(lookup, int(other).bit_length(), weight)
+
+
+def prepare(items: list[tuple[int, str]], alphabet: Alphabet) -> Items | None:
+    ids: dict[bytes, list[int]] = {}
+    symbols: list[np.ndarray] = []
+    for i, text in items:
+        s = alphabet.lookup[code_points(text or "")]
+        s = s[s > 0]
+        if not len(s):
+            continue
+        same = ids.setdefault(s.tobytes(), [])
+        if not same:
+            symbols.append(s)
+        same.append(i)
+    if not symbols:
         return None
-    alphabet = np.unique(np.concatenate([f for _, f in folded]))
-    code = np.zeros(0x110000, dtype=np.uint16)
-    code[alphabet] = np.arange(1, len(alphabet) + 1)
-    other = len(alphabet) + 1
-    lookup = np.where(fold > 0, np.where(code[fold] > 0, code[fold], other), 0).astype(np.uint16)
-    wide = np.zeros(other + 1, dtype=np.int64)
-    wide[1:other] = [IDEOGRAPH_WEIGHT if c >= 0x2E80 else 1 for c in alphabet]
     windows: dict[bytes, int] = {}
     origin, rows = [], []
-    symbols = [code[f] for _, f in folded]
     for k, s in enumerate(symbols):
-        run = np.concatenate(([0], np.cumsum(wide[s])))
-        for a in range(0, len(s), STRIDE):
-            b = int(np.searchsorted(run, run[a] + WEIGHT))
-            if b > len(s):
-                break
+        run = np.concatenate(([0], np.cumsum(alphabet.weight[s])))
+        starts = np.arange(0, len(s), STRIDE)
+        stops = np.searchsorted(run, run[starts] + WEIGHT)
+        fits = stops <= len(s)
+        spans = list(zip(starts[fits].tolist(), stops[fits].tolist())) or [(0, len(s))]  # shorter than any window: one phrase
+        for a, b in spans:
             w = s[a:b]
             p = windows.setdefault(w.tobytes(), len(windows))
             if p == len(rows):
                 rows.append(w)
             origin.append((p, k, a))
-        if not len(s) or run[-1] < WEIGHT:  # shorter than any window: the item is one phrase
-            p = windows.setdefault(s.tobytes(), len(windows))
-            if p == len(rows):
-                rows.append(s)
-            origin.append((p, k, 0))
     width = max(len(w) for w in rows)
-    phrases = np.zeros((len(rows), width), dtype=np.uint16)
+    phrases = np.zeros((len(rows), width), dtype=alphabet.lookup.dtype)
     for p, w in enumerate(rows):
         phrases[p, width - len(w) :] = w
     origin_a = np.array(sorted(origin), dtype=np.int64)
+    origin_a, need = _without_stock(origin_a, np.array([len(s) for s in symbols]), len(rows))
     first = np.searchsorted(origin_a[:, 0], np.arange(len(rows) + 1))
-    return Items(
-        lookup, int(other).bit_length(), np.array([i for i, _ in folded]), symbols, phrases,
-        np.array([len(w) for w in rows]), origin_a, first,
-    )
+    return Items(list(ids.values()), symbols, phrases, origin_a, first, need)
+
+
+def _without_stock(origin: np.ndarray, sizes: np.ndarray, n_phrases: int) -> tuple[np.ndarray, np.ndarray]:
+    """Origins without those of stock phrases in items that are mostly other text, and the hits each item still needs."""
+    sizes = np.minimum(sizes, LONG)
+    need = np.maximum(np.maximum(1, np.minimum(2, sizes // (2 * STRIDE))), np.floor(NOMINATE * sizes / STRIDE).astype(np.int64))
+    pairs = np.unique(origin[:, :2], axis=0)
+    stock = (np.bincount(pairs[:, 0], minlength=n_phrases) > STOCK)[origin[:, 0]]
+    of_stock = np.bincount(origin[stock, 1], minlength=len(sizes))
+    total = np.bincount(origin[:, 1], minlength=len(sizes))
+    lean = of_stock * 4 <= total
+    need = np.where(lean, np.maximum(1, need - of_stock), need)
+    return origin[~(stock & lean[origin[:, 1]])], need
 
 
 def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
@@ -168,7 +210,7 @@ class FMIndex:
     def __init__(self, text: np.ndarray, bits: int):
         sa = suffix_array(text, bits)
         self.n, self.bits = len(text), bits
-        row = text[sa - 1].astype(np.uint16)  # the text is cyclic: before the first symbol stands the last, a separator
+        row = text[sa - 1]  # the text is cyclic: before the first symbol stands the last, a separator
         counts = np.bincount(text, minlength=(1 << bits) + 1)
         self.below = np.concatenate(([0], np.cumsum(counts)))
         self.words, self.sums, self.zeros = [], [], []
@@ -179,7 +221,9 @@ class FMIndex:
             self.sums.append(sums)
             self.zeros.append(int(self.n - sums[-1]))
             row = np.concatenate((row[~bit], row[bit]))
-        marked = sa % SAMPLE == 0
+        # after each separator too: the walk to a sampled place then never passes one, whose order the cycle doesn't keep
+        start = np.concatenate(([True], text[:-1] == 0))
+        marked = (sa % SAMPLE == 0) | start[sa]
         self.mark_words, self.mark_sums = self._pack(marked)
         self.samples = sa[marked]
 
@@ -256,13 +300,13 @@ class FMIndex:
 def _run(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the common prefix."""
     n = min(len(a), len(b))
-    at = 0
+    at, step = 0, 64
     while at < n:
-        step = min(64, n - at)
-        diff = np.flatnonzero(a[at : at + step] != b[at : at + step])
+        diff = np.flatnonzero(a[at : min(n, at + step)] != b[at : min(n, at + step)])
         if len(diff):
             return at + int(diff[0])
         at += step
+        step = min(2 * step, 1 << 16)
     return n
 
 
@@ -287,64 +331,82 @@ def _extend(q: np.ndarray, t: np.ndarray) -> tuple[int, int]:
 def stretches(q: np.ndarray, t: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """(item from, to, text from, to) of the longest stretches through seeds (item offset, text position)."""
     out: list[tuple[int, int, int, int]] = []
+    near: list[tuple[int, int, int, int]] = []  # those that reach beyond the current seed
     for a, p in sorted(seeds, key=lambda s: (s[1], s[0])):
-        if any(x <= a < y and u <= p < v and abs((p - a) - (u - x)) <= BAND for x, y, u, v in out):
+        near = [s for s in near if s[3] > p]
+        if any(x <= a < y and u <= p and abs((p - a) - (u - x)) <= BAND for x, y, u, v in near):
             continue
         fi, fj = _extend(q[a:], t[p:])
         bi, bj = _extend(q[:a][::-1], t[:p][::-1])
-        out.append((a - bi, a + fi, p - bj, p + fj))
+        near.append((a - bi, a + fi, p - bj, p + fj))
+        out.append(near[-1])
     return out
 
 
-def scan_shard(docs: list[tuple[int, np.ndarray]], items: Items) -> list[tuple[int, int, int, int]]:
-    """(index in docs, item index, from, to) in symbols of the document, of every qualifying stretch."""
-    starts = np.cumsum([0] + [len(s) + 1 for _, s in docs])
-    text = np.zeros(starts[-1], dtype=np.uint16)
-    for (_, s), a in zip(docs, starts):
-        text[a : a + len(s)] = s
-    index = FMIndex(text, items.bits)
-    lo, hi = index.search(items.phrases)
-    n = hi - lo
-    which = np.repeat(np.arange(len(n)), n)
-    if not len(which):
-        return []
-    rows = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-    place = index.locate(rows)
-    doc = np.searchsorted(starts, place, side="right") - 1
-    fan = (items.first[1:] - items.first[:-1])[which]
-    row = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan) + np.repeat(items.first[which], fan)
-    item, offset = items.origin[row, 1], items.origin[row, 2]
-    doc, pos = np.repeat(doc, fan), np.repeat(place, fan) - np.repeat(starts[doc], fan)
-    sizes = np.array([len(s) for s in items.symbols])
-    need = np.maximum(1, np.minimum(2, sizes // (2 * STRIDE)))
-    need = np.maximum(need, np.floor(NOMINATE * sizes / STRIDE).astype(np.int64))
-    hot = np.zeros(len(doc), dtype=bool)
-    diagonal = pos - offset + (1 << 24)
-    for shift in (0, BAND // 2):
-        band = (diagonal + shift) // BAND
-        key = (doc.astype(np.int64) * len(sizes) + item) * (1 << 24) + band
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        count = np.diff(np.concatenate((head, [len(k)])))
-        enough = count >= need[item[order[head]]]
-        hot[order] |= np.repeat(enough, count)
-    found = []
-    pick = np.flatnonzero(hot)
-    pick = pick[np.lexsort((offset[pick], pos[pick], item[pick], doc[pick]))]
-    at = 0
-    while at < len(pick):
-        d, i = doc[pick[at]], item[pick[at]]
-        end = at
-        while end < len(pick) and doc[pick[end]] == d and item[pick[end]] == i:
-            end += 1
-        q = items.symbols[i]
-        seeds = [(int(offset[p]), int(pos[p])) for p in pick[at:end]]
-        for a, b, u, v in stretches(q, docs[d][1], seeds):
-            if (b - a) >= MIN_SHARE * len(q):
-                found.append((int(d), int(i), int(u), int(v)))
-        at = end
-    return found
+class Shard:
+    """Pieces of documents under one FM-index: (document, where the piece starts in it, its symbols)."""
+
+    def __init__(self, pieces: list[tuple[int, int, np.ndarray]], bits: int):
+        self.doc = np.array([d for d, _, _ in pieces])
+        self.begin = np.array([a for _, a, _ in pieces], dtype=np.int64)
+        self.starts = np.cumsum([0] + [len(s) + 1 for _, _, s in pieces])
+        text = np.zeros(self.starts[-1], dtype=pieces[0][2].dtype)
+        for (_, _, s), a in zip(pieces, self.starts):
+            text[a : a + len(s)] = s
+        self.index = FMIndex(text, bits)
+
+    def scan(self, items: Items, whole: list[np.ndarray]) -> set[tuple[int, int, int, int]]:
+        """(document, item, from, to) in symbols of the whole documents, of every qualifying stretch."""
+        lo, hi = self.index.search(items.phrases)
+        n = hi - lo
+        n[items.first[1:] == items.first[:-1]] = 0
+        which = np.repeat(np.arange(len(n)), n)
+        if not len(which):
+            return set()
+        place = self.index.locate(np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which])
+        order = np.argsort(place, kind="stable")
+        which, place = which[order], place[order]
+        piece = np.searchsorted(self.starts, place, side="right") - 1
+        fan = (items.first[1:] - items.first[:-1])[which]
+        rows = np.concatenate(([0], np.cumsum(fan)))
+        ends = np.concatenate((np.flatnonzero(np.diff(piece)) + 1, [len(piece)]))  # chunks end with a piece
+        found: set[tuple[int, int, int, int]] = set()
+        a = 0
+        while a < len(which):
+            b = int(ends[max(np.searchsorted(rows[ends], rows[a] + CHUNK, side="right") - 1, np.searchsorted(ends, a, side="right"))])
+            found |= self._nominate(items, whole, which[a:b], place[a:b], piece[a:b], fan[a:b])
+            a = b
+        return found
+
+    def _nominate(self, items: Items, whole, which, place, piece, fan) -> set[tuple[int, int, int, int]]:
+        row = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan) + np.repeat(items.first[which], fan)
+        item, offset = items.origin[row, 1], items.origin[row, 2]
+        doc = np.repeat(self.doc[piece], fan)
+        pos = np.repeat(place - self.starts[piece] + self.begin[piece], fan)
+        hot = np.zeros(len(doc), dtype=bool)
+        diagonal = pos - offset + max(len(s) for s in items.symbols)
+        for shift in (0, BAND // 2):
+            band = (diagonal + shift) // BAND
+            order = np.lexsort((band, item, doc))
+            d, i, k = doc[order], item[order], band[order]
+            head = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (k[1:] != k[:-1]))))
+            count = np.diff(np.concatenate((head, [len(k)])))
+            hot[order] |= np.repeat(count >= items.need[i[head]], count)
+        found = set()
+        pick = np.flatnonzero(hot)
+        pick = pick[np.lexsort((offset[pick], pos[pick], item[pick], doc[pick]))]
+        heads = np.flatnonzero(np.diff(doc[pick], prepend=-1).astype(bool) | np.diff(item[pick], prepend=-1).astype(bool)).tolist()
+        for a, b in zip(heads, heads[1:] + [len(pick)]):
+            d, i = int(doc[pick[a]]), int(item[pick[a]])
+            q = items.symbols[i]
+            seeds = list(zip(offset[pick[a:b]].tolist(), pos[pick[a:b]].tolist()))
+            for x, y, u, v in stretches(q, whole[d], seeds):
+                if (y - x) >= MIN_SHARE * len(q):
+                    found.add((d, i, u, v))
+        return found
+
+
+_SCHEMA = "doc_id long, item_id long, start int, stop int"
 
 
 def leaked_stretches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -352,51 +414,73 @@ def leaked_stretches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-int(size) // BLOCK_CHARS))
+    if not size:
+        return spark.createDataFrame([], _SCHEMA)
+    characters = known.select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).distinct()
+    shared = spark.sparkContext.broadcast(alphabet_of([r["c"] for r in characters.collect()]))
+    n_blocks = max(1, -(-int(size) // BLOCK_CHARS))
+    path = new_path(spark, "items")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = prepare(list(zip(pdf["item_id"].tolist(), pdf["text"].tolist())), shared.value)
+        payload = [] if items is None else [pickle.dumps(tuple(vars(items).values()), protocol=5)]
+        return pd.DataFrame({"block": pdf["block"].iloc[:1].repeat(len(payload)), "payload": payload})
+
+    blocks = known.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).cast("int"))
+    blocks.groupBy("block").applyInPandas(pack, "block int, payload binary").write.partitionBy("block").parquet(path)
+    present = sorted(r["block"] for r in spark.read.schema("payload binary, block int").parquet(path).select("block").distinct().collect())
     texts = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, start int, stop int"
-    out = None
-    for b in range(blocks):
-        block = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        items = prepare([(r["item_id"], r["text"]) for r in block.collect()])
-        if items is None:
-            continue
-        part = texts.mapInPandas(_scanner(spark.sparkContext.broadcast(tuple(vars(items).values()))), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return texts.mapInPandas(_scanner(shared, path, present), _SCHEMA)
 
 
-def _scanner(shared):
+def read_block(path: str, block: int) -> Items:
+    """A block of prepared items from the shared folder."""
+    import pyarrow.fs
+    import pyarrow.parquet
+
+    fs, root = pyarrow.fs.FileSystem.from_uri(path)
+    payload = pyarrow.parquet.read_table(f"{root}/block={block}", filesystem=fs, columns=["payload"], partitioning=None)["payload"]
+    return Items(*pickle.loads(payload[0].as_py()))
+
+
+def _scanner(shared, path: str, blocks: list[int]):
     def scan(batches):
-        items = Items(*shared.value)
-        overlap = 2 * max(len(s) for s in items.symbols)
-        held: list[tuple[int, np.ndarray]] = []
+        alphabet = shared.value
+        kept = read_block(path, blocks[0]) if len(blocks) == 1 else None
+        overlap = 2 * LONG
+        shard = max(SHARD, 2 * overlap)
+        pieces: list[tuple[int, int, np.ndarray]] = []
+        whole: list[np.ndarray] = []
         origin: list[tuple[int, np.ndarray]] = []  # document id and the character of each symbol
         size = 0
 
         def flush():
-            rows = [
-                (origin[d][0], int(items.ids[i]), int(origin[d][1][u]), int(origin[d][1][v - 1]) + 1)
-                for d, i, u, v in scan_shard(held, items)
-            ]
-            return pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "stop"]).drop_duplicates()
-
-        for pdf in batches:
+            index = Shard(pieces, alphabet.bits)
+            rows = set()
+            for b in blocks:
+                items = kept or read_block(path, b)
+                for d, i, u, v in index.scan(items, whole):
+                    doc_id, chars = origin[d]
+                    rows.update((doc_id, item_id, int(chars[u]), int(chars[v - 1]) + 1) for item_id in items.ids[i])
+            return pd.DataFrame(sorted(rows, key=str), columns=["doc_id", "item_id", "start", "stop"])
+
+        for pdf in batches if blocks else ():
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                symbols = items.lookup[code_points(text)]
+                symbols = alphabet.lookup[code_points(text)]
                 chars = np.flatnonzero(symbols).astype(np.int32)
                 symbols = symbols[chars]
-                for a in range(0, max(1, len(symbols) - overlap), SHARD - overlap):
-                    piece = symbols[a : a + SHARD]
-                    if not len(piece):
-                        continue
-                    if size + len(piece) > SHARD and held:
+                if not len(symbols):
+                    continue
+                whole.append(symbols)
+                origin.append((doc_id, chars))
+                for a in range(0, max(1, len(symbols) - overlap), shard - overlap):
+                    piece = symbols[a : a + shard]
+                    if pieces and size + len(piece) > shard:
                         yield flush()
-                        held, origin, size = [], [], 0
-                    held.append((doc_id, piece))
-                    origin.append((doc_id, chars[a : a + SHARD]))
+                        whole, origin, pieces, size = whole[-1:], origin[-1:], [], 0
+                    pieces.append((len(whole) - 1, a, piece))
                     size += len(piece) + 1
-        if held:
+        if pieces:
             yield flush()
 
     return scan

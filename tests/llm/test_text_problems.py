@@ -268,6 +268,84 @@ def test_leaks_in_blocks_and_pieces(spark, monkeypatch):
     assert got == {(i, i) for i in range(5)}
 
 
+@pytest.mark.parametrize("n", [350, 360, 400, 1500])
+def test_long_items_hide_nothing(spark, monkeypatch, n):
+    rng = random.Random(n)
+    item = lambda k: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(k))
+    long, short = item(n), item(40)
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    cases = [item(500) + short + item(2500), item(900) + long + item(900), item(30) + long[: n // 2 + 20] + item(30), item(30) + long[: n // 2 - 20] + item(600) + short, long, item(3000)]
+    monkeypatch.setattr(leakage, "SHARD", 700)
+    monkeypatch.setattr(leakage, "LONG", 100)
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_pairs(docs(spark, cases), bench).collect()}
+    assert got == {(0, 2), (1, 1), (2, 1), (3, 2), (4, 1)}
+
+
+def brute_pairs(cases, items):
+    """Every document and item with a stretch of half the item, from every pair of places that agree in four signs."""
+    fold = leakage.folding()
+    plain = lambda t: [int(c) for c in fold[leakage.code_points(t)] if c]
+
+    def along(q, t):
+        i = j = 0
+        while True:
+            while i < len(q) and j < len(t) and q[i] == t[j]:
+                i, j = i + 1, j + 1
+            if i >= len(q) or j >= len(t):
+                return i
+            runs = []
+            for di, dj in ((1, 1), (1, 0), (0, 1)):
+                k = 0
+                while k < 24 and i + di + k < len(q) and j + dj + k < len(t) and q[i + di + k] == t[j + dj + k]:
+                    k += 1
+                runs.append((k, di, dj))
+            k, di, dj = max(runs, key=lambda r: r[0])
+            if k < leakage.RESUME:
+                return i
+            i, j = i + di, j + dj
+
+    found = set()
+    for d, text in enumerate(cases):
+        t = plain(text)
+        at = {}
+        for p in range(len(t) - 3):
+            at.setdefault(tuple(t[p : p + 4]), []).append(p)
+        for k, it in enumerate(items):
+            q = plain(it)
+            if any(along(q[a:], t[p:]) + along(q[:a][::-1], t[:p][::-1]) >= len(q) / 2 for a in range(len(q) - 3) for p in at.get(tuple(q[a : a + 4]), ())):
+                found.add((d, k))
+    return found
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(21)
+    item = lambda n: "".join(rng.choice("的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经") for _ in range(n))
+    items = [item(rng.randrange(30, 90)) for _ in range(12)]
+    cases = []
+    for k in range(60):
+        it = items[k % 12]
+        a = rng.randrange(0, len(it) // 2)
+        part = it[a : a + int(len(it) * rng.uniform(0.3, 1.0))]
+        cases.append(item(rng.randrange(0, 40)) + noisy(rng, part, rng.randrange(9, 40)) + item(rng.randrange(0, 40)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_pairs(docs(spark, cases), bench).collect()}
+    assert got == brute_pairs(cases, items) and len(got) > 20
+
+
+def test_stock_instructions_are_not_multiplied(spark, monkeypatch):
+    rng = random.Random(22)
+    item = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    stock = item(24)
+    items = [stock + item(100) for _ in range(300)]
+    cases = [stock * 500, stock + item(60), "前文" + items[7] + "后文", stock + items[9][24:90], items[11] * 2]
+    bench = spark.createDataFrame(list(enumerate(items)) + [(1000, items[7])], "item_id long, text string")
+    alphabet = leakage.alphabet_of(list("".join(items)))
+    block = leakage.prepare(list(enumerate(items)), alphabet)
+    assert (block.first[1:] - block.first[:-1]).max() <= leakage.STOCK
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_pairs(docs(spark, cases), bench).collect()}
+    assert got == {(2, 7), (2, 1000), (3, 9), (4, 11)}
+
+
 # --- 8: cut texts ----------------------------------------------------------------------------------------------------
 
 
