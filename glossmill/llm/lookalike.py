@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from glossmill.session import materialize
 
 COLLATION = "UNICODE"
+#: Signs that stand on or join with the sign before them.
+COMBINING = r"[\p{M}\u1100-\u11FF]"
 
 #: Letters of other scripts and the Latin letters they can't be told from by eye.
 TWINS = {
@@ -42,8 +44,9 @@ FORM_BLOCKS = ((0x2E80, 0x2FDF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x1D400, 0
 def mapping() -> tuple[str, str]:
     """(from, to) for ``translate``; characters of ``from`` beyond the end of ``to`` are dropped.
 
-    Built by rule: one-character compatibility forms within FORM_BLOCKS, every kind of blank to the ordinary one,
-    the TWINS, and last all invisible format characters and variation selectors, which go.
+    Built by rule: one-character compatibility forms within FORM_BLOCKS, one-character composed forms, every kind of
+    blank to the ordinary one, the TWINS, and last all invisible control and format characters and variation selectors,
+    which go.
     """
     pairs, gone = dict(TWINS), []
     for lo, hi in FORM_BLOCKS:
@@ -54,7 +57,10 @@ def mapping() -> tuple[str, str]:
     for cp in range(sys.maxunicode + 1):
         ch = chr(cp)
         kind = unicodedata.category(ch)
-        if kind == "Cf" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or ch in "͏ᅟᅠㅤﾠ":
+        if len(unicodedata.normalize("NFC", ch)) == 1 and unicodedata.normalize("NFC", ch) != ch:
+            form = unicodedata.normalize("NFC", ch)
+            pairs.setdefault(ch, TWINS.get(form, form))
+        if kind == "Cf" or (kind == "Cc" and ch not in "\t\n\r\x0b\x0c\x85") or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or ch in "͏ᅟᅠㅤﾠ":
             gone.append(ch)
         elif kind in ("Zs", "Zl", "Zp") or ch in "\t\n\r\x0b\x0c\x85":
             pairs[ch] = " "
@@ -79,22 +85,29 @@ def _collated(c: Column) -> Column:
 
 
 def _composed(values: DataFrame) -> DataFrame:
-    """``shape`` with accents composed.  Only values that hold a combining mark leave the JVM."""
-    marked = F.col("shape").rlike(r"\p{M}")
+    """``shape`` in composed form."""
 
     def compose(batches):
         for pdf in batches:
             yield pdf.assign(shape=[unicodedata.normalize("NFC", s) for s in pdf["shape"]])
 
-    return values.where(~marked).unionByName(values.where(marked).mapInPandas(compose, values.schema))
+    return values.mapInPandas(compose, values.schema)
 
 
 def canonical_values(df: DataFrame, column: str) -> DataFrame:
-    """(value, canonical): each distinct value of ``column`` with the canonical member of its class."""
+    """(value, canonical): each distinct value of ``column`` with the canonical member of its class.
+
+    A mapped value without combining signs equals another under the collation only where both are the same in binary
+    order too, so it is its own canonical member; only values with such signs are composed and grouped by the collation.
+    """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    mapped = _composed(values.select("value", looks("value").alias("shape")))
-    classes = mapped.groupBy(_collated(F.col("shape")).alias("look")).agg(F.min(F.collate("shape", "UTF8_BINARY")).alias("canonical"))
-    return mapped.withColumn("look", _collated(F.col("shape"))).join(classes, "look").select("value", "canonical")
+    mapped = values.select("value", looks("value").alias("shape"))
+    combining = F.col("shape").rlike(COMBINING)
+    other = _composed(mapped.where(combining)).withColumn("look", _collated(F.col("shape")))
+    classes = other.groupBy("look").agg(F.min(F.collate("shape", "UTF8_BINARY")).alias("canonical"))
+    return mapped.where(~combining).select("value", F.col("shape").alias("canonical")).unionByName(
+        other.join(classes, "look").select("value", "canonical")
+    )
 
 
 def consistent(df: DataFrame, columns: list[str], key: str = "row_id") -> DataFrame:
@@ -109,26 +122,38 @@ def consistent(df: DataFrame, columns: list[str], key: str = "row_id") -> DataFr
 def lookalike_pairs(df: DataFrame, column: str, key: str = "row_id") -> DataFrame:
     """(row_a, row_b), row_a < row_b: rows whose texts look the same but differ beyond ordinary blanks.
 
-    Classes are formed over distinct texts.  Different texts of one class are paired first, and rows join those pairs
-    by text, so no pair of rows is ever made that isn't a result, however many copies a text has.
+    Classes are the canonical members of distinct texts.  Different texts of one class are paired first, and rows join
+    those pairs by text, so no pair of rows is ever made that isn't a result, however many copies a text has.
     """
     rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("row"), without_blanks(F.col(column)).alias("plain"))
-    rows = rows.select("row", F.unhex(F.md5("plain")).alias("h"), "plain")
-    texts = rows.groupBy("h").agg(F.min("plain").alias("plain"))
-    shaped = texts.select("h", _collated(without_blanks(looks("plain"))).alias("look"))
+    forms = canonical_values(rows, "plain")
+    shaped = forms.select(F.unhex(F.md5("value")).alias("h"), F.unhex(F.md5(without_blanks(F.col("canonical")))).alias("look"))
+    shaped = materialize(shaped, "look-classes")
     mixed = shaped.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("look")
-    members = materialize(shaped.join(mixed, "look").select(F.collate("look", "UTF8_BINARY").alias("shape"), "h"), "look-members")
-    one = members.select(_collated(F.col("shape")).alias("look"), F.col("h").alias("ha"))
-    two = members.select(_collated(F.col("shape")).alias("look"), F.col("h").alias("hb"))
-    pairs = one.join(two, "look").where(F.col("ha") < F.col("hb")).select("ha", "hb")
-    slim = rows.select("row", "h")
+    members = shaped.join(mixed, "look")
+    pairs = members.select("look", F.col("h").alias("ha")).join(members.select("look", F.col("h").alias("hb")), "look").where(F.col("ha") < F.col("hb"))
+    pairs = materialize(pairs.select("ha", "hb"), "look-pairs")
+    slim = rows.select("row", F.unhex(F.md5("plain")).alias("h"))
     met = pairs.join(slim.select(F.col("h").alias("ha"), F.col("row").alias("ra")), "ha").join(slim.select(F.col("h").alias("hb"), F.col("row").alias("rb")), "hb")
     return met.select(F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
 
 
+def lookalike_classes(df: DataFrame, column: str, key: str = "row_id") -> DataFrame:
+    """(row, look): rows whose text looks like a different one, with the id of its class; one row per row of the table."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("row"), without_blanks(F.col(column)).alias("plain"))
+    shaped = canonical_values(rows, "plain").select(F.col("value").alias("plain"), F.md5(without_blanks(F.col("canonical"))).alias("look"))
+    shaped = materialize(shaped, "look-classes")
+    mixed = shaped.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("look")
+    return rows.join(shaped.join(mixed, "look"), "plain").select("row", "look")
+
+
 def hidden_spans(df: DataFrame, sentence: str = "sentence", span: str = "span", key: str = "row_id") -> DataFrame:
-    """(row): rows whose span, as it looks, stands in the sentence without being a literal part of it."""
+    """(row): rows whose span, in its consistent form, stands in the consistent sentence without being a literal part of it.
+
+    Only rows whose span is no literal part are brought to the consistent form.
+    """
     s, p = F.col(sentence), F.col(span)
-    near = df.where(s.isNotNull() & p.isNotNull() & (F.length(looks(p)) > 0) & ~F.contains(s, p))
-    seen = F.contains(_collated(looks(s)), _collated(looks(p)))
-    return near.where(seen).select(F.col(key).alias("row"))
+    near = df.where(s.isNotNull() & p.isNotNull() & ~F.contains(s, p)).select(F.col(key).alias("row"), s.alias("s"), p.alias("p"))
+    both = consistent(near, ["s", "p"], "row")
+    inside = F.when(F.contains("s", "p"), True).when(F.col("p").rlike(COMBINING), F.contains(_collated(F.col("s")), _collated(F.col("p"))))
+    return both.where((F.length("p") > 0) & inside).select("row")

@@ -6,7 +6,7 @@ exceeds the capacity: then into full pieces, each a container, and a rest that i
 Method: hierarchical residual packing.  Each task packs its own texts best-fit in falling order, with one stack of open
 containers per residual, so an item costs a bitmap look-up.  Containers filled to ``FULL`` are emitted; the others go
 on as items one level up, where ``FAN_IN`` groups meet in one task and are packed best-fit again, until one
-group is left or a level no longer helps.  A merge task takes at most ``MERGE_ROWS`` containers, whatever their number.
+group is left or the groups, which hold at most about ``MERGE_ROWS`` containers, can't become fewer.  A merge task takes at most ``MERGE_ROWS`` containers, whatever their number.
 
 Only container sizes travel between levels.  Every level is written to the shared folder before the next reads it, so
 ids stay the same when a task is repeated, and texts are read and tokenized once.
@@ -141,7 +141,7 @@ def pack_containers(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     open_bins = materialize(open_bins, "pack-open")
     left = open_bins.count()
     groups = max(1, -(-left // MERGE_ROWS))
-    if groups == 1 and left > 4 * MERGE_ROWS // FAN_IN:
+    if groups == 1 and left > 4 * MERGE_ROWS // FAN_IN:  # one more level, so that the first runs in parallel
         groups = FAN_IN
     names = None
     while left > 1:
@@ -154,9 +154,9 @@ def pack_containers(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str =
             names = materialize(names.join(moved, "up", "left").select("box", F.coalesce("top", "up").alias("up")), "pack-names")
         open_bins = materialize(level.where(F.col("up_fill") < enough).select(F.col("up").alias("box"), F.col("up_fill").alias("fill")).distinct(), "pack-open")
         now = open_bins.count()
-        if groups == 1 or now > 0.98 * left:
+        fewer = max(1, -(-groups // FAN_IN), -(-now // MERGE_ROWS))
+        if fewer >= groups:  # the same containers would meet again
             break
-        left, groups = now, max(1, -(-groups // FAN_IN))
-        groups = max(groups, -(-now // MERGE_ROWS))
+        left, groups = now, fewer
     placed = base if names is None else base.join(names, "box", "left").withColumn("box", F.coalesce("up", "box"))
     return placed.select("doc_id", "piece", "tokens", (F.col("box") + 1).alias("container"))

@@ -119,11 +119,35 @@ _SQL_SPLITS = f"""{_SQL_LINKS}, n1 AS (SELECT num, min(grp) AS ng FROM p GROUP B
     SELECT row_id, coalesce('g:' || coalesce(top.block_group, g), 'n:' || nullif(num, ''), 'r:' || row_id) AS block FROM (
         SELECT k.row_id, k.num, coalesce(CASE WHEN regexp_full_match(k.grp, '[0-9a-f]{{16}}') THEN k.grp END, n1.ng) AS g FROM k LEFT JOIN n1 ON n1.num = k.num) q LEFT JOIN top ON top.v = q.g"""
 
+_ROOM = {"train": "0.8::DOUBLE * t - tr", "validation": "0.1::DOUBLE * t - va", "test": "0.1::DOUBLE * t - te"}
+_HOME = f"""CASE WHEN {_ROOM["train"]} >= {_ROOM["validation"]} AND {_ROOM["train"]} >= {_ROOM["test"]} THEN 'train'
+    WHEN {_ROOM["validation"]} >= {_ROOM["test"]} THEN 'validation' ELSE 'test' END"""
+#: Heavy blocks one after another where most room is left, the others cut by cumulative weight in the order of their hash.
+_SQL_ASSIGNED = f"""{_SQL_SPLITS.replace("SELECT row_id, coalesce('g:'", ", placed AS (SELECT row_id, coalesce('g:'")}),
+    wb AS (SELECT block, count(*) AS w, md5('42:' || block) AS h FROM placed GROUP BY 1),
+    tot AS (SELECT sum(w)::BIGINT AS t FROM wb),
+    big AS (SELECT block, w, t, row_number() OVER (ORDER BY w DESC, h, block) AS k FROM wb, tot WHERE w * 20 > t * 0.1::DOUBLE),
+    fill AS (SELECT 0::BIGINT AS k, 0::BIGINT AS tr, 0::BIGINT AS va, 0::BIGINT AS te, t, NULL::VARCHAR AS block, NULL::VARCHAR AS split FROM tot
+        UNION ALL SELECT k, tr + CASE WHEN home = 'train' THEN w ELSE 0 END, va + CASE WHEN home = 'validation' THEN w ELSE 0 END,
+            te + CASE WHEN home = 'test' THEN w ELSE 0 END, t, block, home
+        FROM (SELECT b.k, tr, va, te, f.t, b.block, b.w, {_HOME.replace("* t -", "* f.t -")} AS home FROM fill f JOIN big b ON b.k = f.k + 1)),
+    fin AS (SELECT *, t - tr - va - te AS rest, greatest(0.0::DOUBLE, {_ROOM["train"]}) AS r1, greatest(0.0::DOUBLE, {_ROOM["validation"]}) AS r2, greatest(0.0::DOUBLE, {_ROOM["test"]}) AS r3
+        FROM fill ORDER BY k DESC LIMIT 1),
+    scaled AS (SELECT *, rest / greatest(r1 + r2 + r3, 1.0::DOUBLE) AS s FROM fin),
+    small AS (SELECT block, sum(w) OVER (ORDER BY h, block ROWS UNBOUNDED PRECEDING) - w / 2.0::DOUBLE AS place FROM wb WHERE block NOT IN (SELECT block FROM big)),
+    homes AS (SELECT block, split FROM fill WHERE block IS NOT NULL
+        UNION ALL SELECT small.block, CASE WHEN place < rest - r3 * s - r2 * s THEN 'train' WHEN place < rest - r3 * s THEN 'validation' ELSE 'test' END FROM small, scaled)
+    SELECT row_id, block, split FROM placed JOIN homes USING (block)"""
+
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH RECURSIVE {_SQL_LINKS} SELECT block_group, v AS sentence_group FROM top WHERE v > block_group",
     "p1_blocks": f"WITH RECURSIVE {_SQL_SPLITS}",
+    "p1_splits": f"WITH RECURSIVE {_SQL_ASSIGNED}",
     "p4_found": f"""SELECT '{EVIDENCE}' AS table_name, kept AS kept_row, row_id AS copy_row FROM (SELECT row_id, {_SAME.format(keys=", ".join([_bare(c) for c in _EV_TEXT] + list(_EV_OTHER)))} FROM {EVIDENCE}) WHERE k > 1
         UNION ALL SELECT '{AUTHOR}', kept, row_id FROM (SELECT row_id, {_SAME.format(keys="label, construction, span, gold, benchmark_label, canon")} FROM (SELECT *, {_SQL_SENTENCE} AS canon FROM {AUTHOR})) WHERE k > 1""",
+    "p4_records": f"""SELECT '{EVIDENCE}' AS table_name, min(row_id) AS kept_row, count(*) AS n_copies FROM {EVIDENCE} GROUP BY {", ".join([_bare(c) for c in _EV_TEXT] + list(_EV_OTHER))}
+        UNION ALL SELECT '{AUTHOR}', min(row_id), count(*) FROM (SELECT *, {_SQL_SENTENCE} AS canon FROM {AUTHOR}) GROUP BY label, construction, span, gold, benchmark_label, canon""",
+    "p5_consistent": f"SELECT row_id, {_MAPPED('sentence')} AS sentence, {_MAPPED('span')} AS span FROM {AUTHOR}",
     "p5_found": f"""WITH s AS (SELECT row_id, {_PLAIN('sentence')} AS raw, {_PLAIN(_MAPPED('sentence'))} AS look FROM {AUTHOR} WHERE sentence IS NOT NULL)
         SELECT 'sentence' AS field, a.row_id AS row_a, b.row_id AS row_b FROM s a JOIN s b ON a.look = b.look AND a.row_id < b.row_id AND a.raw <> b.raw
         UNION ALL SELECT 'span', row_id, row_id FROM {AUTHOR} WHERE {_MAPPED('span')} <> '' AND NOT contains(sentence, span) AND contains({_MAPPED('sentence')}, {_MAPPED('span')})""",

@@ -11,8 +11,10 @@ loops dropped, duplicates removed, until no edge is left.  The collapse tables a
 which gives every group its block.  Each round is a join and a distinct on one table that was written to the shared
 folder, so no task holds more than its hash partition and a lost executor repeats one round at most.
 
-Splits: blocks are ordered by falling weight class and then by hash, and cut where their cumulative weight passes
-the given proportions.  The prefix sum runs over hash ranges (at most 64 * 1024 sums), never over one sorted task.
+Splits: blocks are ordered by hash and cut where their cumulative weight passes the given proportions, so blocks of
+every size come into every split.  Only blocks heavier than a ``LARGE_PARTS``-th of the smallest split are placed before
+that, heaviest first, each where most room is left; there are at most LARGE_PARTS / (smallest proportion) of them.  The
+prefix sum runs over ranges of the hash, never over one sorted task.
 
 Defined cases: a record without group goes with its number; without both it is a block of its own (by ``row_id``).
 Repeated rows weigh as often as they occur.  Empty tables give empty results.
@@ -31,7 +33,9 @@ from glossmill.session import discard, materialize, materialize_counted
 
 PROPORTIONS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 MAX_ROUNDS = 400
-RANGES = 1024
+#: Hash ranges of the prefix sum: 16 to the power of so many.
+RANGE_DIGITS = 3
+LARGE_PARTS = 20
 
 
 def record_keys(df: DataFrame) -> DataFrame:
@@ -121,14 +125,15 @@ def record_blocks(df: DataFrame) -> DataFrame:
         .groupBy("num")
         .agg(F.min("grp").alias("num_grp"))
     )
-    placed = keys.join(by_num, "num", "left").withColumn("g", F.coalesce("grp", "num_grp"))
-    return placed.join(named.withColumnRenamed("grp", "g"), "g", "left").select(
-        "row_id",
-        F.coalesce(
-            F.concat(F.lit("g:"), F.coalesce("block_group", "g")),
-            F.concat(F.lit("n:"), F.col("num")),
-            F.concat(F.lit("r:"), F.col("row_id").cast("string")),
-        ).alias("block"),
+    # rows without group look it up by number, rows without either stay out of the joins: no null is ever a join key
+    grouped = keys.where(F.col("grp").isNotNull()).select("row_id", "num", F.col("grp").alias("g"))
+    numbered = keys.where(F.col("grp").isNull() & F.col("num").isNotNull()).join(by_num, "num", "left")
+    placed = grouped.unionByName(numbered.select("row_id", "num", F.col("num_grp").alias("g")))
+    in_group = placed.where(F.col("g").isNotNull()).join(named.withColumnRenamed("grp", "g"), "g", "left")
+    return (
+        in_group.select("row_id", F.concat(F.lit("g:"), F.coalesce("block_group", "g")).alias("block"))
+        .unionByName(placed.where(F.col("g").isNull()).select("row_id", F.concat(F.lit("n:"), F.col("num")).alias("block")))
+        .unionByName(keys.where(F.col("grp").isNull() & F.col("num").isNull()).select("row_id", F.concat(F.lit("r:"), F.col("row_id").cast("string")).alias("block")))
     )
 
 
@@ -136,27 +141,31 @@ def assign_splits(df: DataFrame, proportions=PROPORTIONS, seed: int = 42) -> Dat
     """(row_id, block, split): whole blocks are cut into splits by cumulative weight."""
     placed = materialize(record_blocks(df), "record-blocks")
     weight = placed.groupBy("block").agg(F.count(F.lit(1)).alias("w"))
-    ranked = weight.select(
-        "block", "w",
-        (F.lit(63) - F.floor(F.log2(F.col("w").cast("double"))).cast("int")).alias("cls"),
-        F.xxhash64(F.lit(seed), "block").alias("h"),
-    ).withColumn("rng", F.pmod(F.shiftright("h", 40), F.lit(RANGES)).cast("int"))
+    ranked = weight.select("block", "w", F.md5(F.concat(F.lit(f"{seed}:"), "block")).alias("h")).withColumn("rng", F.substring("h", 1, RANGE_DIGITS))
     ranked = materialize(ranked, "block-weights")
-    sums = sorted((r["cls"], r["rng"], r["s"]) for r in ranked.groupBy("cls", "rng").agg(F.sum("w").alias("s")).collect())
-    total = sum(s for _, _, s in sums)
+    total = ranked.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("t")).first()["t"]
+    # few blocks can be this heavy, so they fit on the driver
+    large = ranked.where(F.col("w") * LARGE_PARTS > F.lit(total * min(share for _, share in proportions))) if total else ranked.limit(0)
+    heavy = sorted(((-r["w"], r["h"], r["block"]) for r in large.select("w", "h", "block").collect()))
+    held = dict.fromkeys((name for name, _ in proportions), 0)
+    homes = []
+    for w, _, block in heavy:
+        name = max(proportions, key=lambda p: (p[1] * total - held[p[0]], p[1]))[0]
+        held[name] -= w
+        homes.append((block, name))
     spark = df.sparkSession
-    offsets = spark.createDataFrame(
-        [(c, r, int(o)) for (c, r, _), o in zip(sums, accumulate([0] + [s for _, _, s in sums][:-1]))], "cls int, rng int, base long"
-    )
-    within = W.partitionBy("cls", "rng").orderBy("h", "block").rowsBetween(W.unboundedPreceding, W.currentRow)
-    place = (F.sum("w").over(within) + F.col("base") - F.col("w") / 2.0) / F.lit(float(max(total, 1)))
-    cut, split = 0.0, None
-    cuts = []
-    for name, share in proportions:
-        cut += share
-        cuts.append((name, cut))
-    split = F.lit(cuts[-1][0])
-    for name, upto in reversed(cuts[:-1]):
+    homes = spark.createDataFrame(homes, "block string, split string")
+    small = ranked.join(F.broadcast(homes), "block", "left_anti")
+    sums = sorted((r["rng"], r["s"]) for r in small.groupBy("rng").agg(F.sum("w").alias("s")).collect())
+    left = sum(s for _, s in sums)
+    offsets = spark.createDataFrame([(r, int(o)) for (r, _), o in zip(sums, accumulate([0] + [s for _, s in sums][:-1]))], "rng string, base long")
+    within = W.partitionBy("rng").orderBy("h", "block").rowsBetween(W.unboundedPreceding, W.currentRow)
+    place = F.sum("w").over(within) + F.col("base") - F.col("w") / 2.0
+    room = {name: max(0.0, share * total - held[name]) for name, share in proportions}
+    scale = left / max(sum(room.values()), 1.0)
+    split, upto = F.lit(proportions[-1][0]), left
+    for name, _ in reversed(proportions):
         split = F.when(F.col("place") < upto, F.lit(name)).otherwise(split)
-    chosen = ranked.join(F.broadcast(offsets), ["cls", "rng"]).withColumn("place", place).select("block", split.alias("split"))
-    return placed.join(chosen, "block").select("row_id", "block", "split")
+        upto -= room[name] * scale
+    chosen = small.join(F.broadcast(offsets), "rng").withColumn("place", place).select("block", split.alias("split"))
+    return placed.join(chosen.unionByName(homes), "block").select("row_id", "block", "split")

@@ -154,6 +154,23 @@ def test_lookalikes(spark):
     assert lookalike.lookalike_pairs(texts(spark, []), "sentence").count() == 0
 
 
+def test_splits_have_blocks_of_all_sizes(spark):
+    rng = random.Random(31)
+    rows, row = [], 0
+    for g in range(3000):
+        for _ in range(1 if rng.random() < 0.6 else rng.randrange(2, 12)):
+            rows.append((f"N{row}", f"{g:016x}"))
+            row += 1
+    rows += [(f"N{row + k}", f"{9999:016x}") for k in range(row // 3)]
+    out = splits.assign_splits(records(spark, rows)).toPandas()
+    share = out.groupby("split").size() / len(out)
+    assert abs(share["train"] - 0.8) < 0.02 and abs(share["validation"] - 0.1) < 0.02 and abs(share["test"] - 0.1) < 0.02
+    sizes = out.groupby(["split", "block"]).size()
+    sizes = sizes[sizes < 100].groupby("split").mean()
+    assert sizes.max() < 1.5 * sizes.min()
+    assert out.groupby("block")["split"].nunique().max() == 1
+
+
 # --- 6: packing ------------------------------------------------------------------------------------------------------
 
 
@@ -190,6 +207,16 @@ def test_containers(spark):
     assert packing.pack_containers(docs(spark, [])).count() == 0
 
 
+def test_packing_over_several_levels(spark, monkeypatch):
+    rng = random.Random(32)
+    many = [" ".join("word" for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    monkeypatch.setattr(packing, "MERGE_ROWS", 20)
+    got = packing.pack_containers(docs(spark, many).repartition(12), capacity=128).toPandas()
+    assert sorted(got["doc_id"]) == list(range(1500))
+    fill = got.groupby("container")["tokens"].sum()
+    assert fill.max() <= 128 and len(fill) <= 1.05 * np.ceil(got["tokens"].sum() / 128) + 2
+
+
 # --- 7: leaks --------------------------------------------------------------------------------------------------------
 
 
