@@ -82,19 +82,41 @@ def test_packed_conventions(spark):
 
 
 def test_packed_joined_reading_is_learned(spark):
-    """A value often seen whole, whose parts are never seen alone, stays whole where it was left unquoted."""
+    """A value often seen quoted, whose parts are never seen alone, stays whole where it was left unquoted."""
     values = ["「给/替」"] * 40 + ["给/替；把"] + ["把；被"] * 5
     got = split(spark, values)
-    assert got[40] in (["给/替", "把"], ["给", "替", "把"])
+    assert got[40] == ["给/替", "把"]
     assert got[0] == ["给/替"] and got[-1] == ["把", "被"]
 
 
+def test_packed_share_of_inner_separators_is_learned(spark):
+    """Where a column often leaves values with separators unquoted, a pair both of whose parts are known is joined too."""
+    habit = ["「先、再、然后」；跟", "「有；没有」、离"] * 20 + ["先、再、然后", "跟|有；没有|离"] * 60
+    parts = ["给；跟", "替；离"] * 3 + ["「给/替」；跟"] * 30
+    got = split(spark, [*habit, *parts, "离；给/替"])
+    assert got[40] == ["先、再、然后"] and got[41] == ["跟", "有；没有", "离"] and got[-1] == ["离", "给/替"]
+    rare = split(spark, ["跟；离"] * 60 + ["给；跟", "替；离"] * 30 + ["「给/替」；跟"] * 3 + ["离；给/替"])
+    assert rare[-1] == ["离", "给", "替"]
+
+
+def test_packed_long_values_join(spark):
+    """Values of many pieces, and with blanks beside a separator, join as shorter ones do."""
+    long = "甲、乙、丙、丁、戊、己、庚、辛"
+    got = split(spark, [f"「{long}」"] * 20 + ['"子 / 丑"'] * 20 + [f"{long}；跟", "跟；子 / 丑", "甲、乙、丙；跟"] + ["跟；离"] * 9)
+    assert got[40] == [long, "跟"] and got[41] == ["跟", "子 / 丑"] and got[42] == ["甲", "乙", "丙", "跟"]
+
+
 def test_packed_frequent_pair_of_frequent_values_still_splits(spark):
     values = ["「又，又」"] * 10 + ["又，又，跟"] * 10 + ["又；跟"] * 30
     got = split(spark, values)
     assert got[10] == ["又", "又", "跟"]
 
 
+def test_packed_very_long_quoted_and_open_fields(spark):
+    got = split(spark, ['"' + "长，" * 30_000 + '"；b', '"' + "长 " * 5_000, "“" * 3_000])
+    assert got[0] == ["长，" * 30_000, "b"] and len(got[1]) == 5_000 and len(got[2]) == 1
+
+
 def test_packed_long_and_empty(spark):
     many = ";".join(f"v{i}" for i in range(3000))
     assert len(split(spark, [many])[0]) == 3000
