@@ -2,12 +2,16 @@
 
 ``materialize`` writes an intermediate table as Parquet into the shared folder that the session names in
 ``spark.checkpoint.dir``.  Every executor can read it again, so a lost executor costs at most a re-run of the
-tasks it was running.  Only where the setting is absent (tests, notebooks) a temporary folder is set.
+tasks it was running.  Only where the setting is absent and the master is local (tests, notebooks) a temporary folder is
+set, which goes when the process ends; on a cluster the missing setting is an error.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -40,10 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; sets one only where the session names none."""
+    """The folder all executors share; sets one only where the session names none and all tasks run on this machine."""
     path = spark.conf.get(SHARED_KEY, None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="glossmill-")
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"{SHARED_KEY} names no folder that all executors of {master!r} share")
+        folder = tempfile.mkdtemp(prefix="glossmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"file://{folder}"
         spark.conf.set(SHARED_KEY, path)
     return path.rstrip("/")
 
