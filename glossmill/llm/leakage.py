@@ -297,30 +297,37 @@ class FMIndex:
         return out
 
 
-def _run(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    at, step = 0, 64
-    while at < n:
-        diff = np.flatnonzero(a[at : min(n, at + step)] != b[at : min(n, at + step)])
-        if len(diff):
-            return at + int(diff[0])
+def as_text(symbols: np.ndarray) -> str:
+    """Symbols as characters: comparing short pieces of text is far cheaper than comparing short arrays."""
+    return symbols.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _run(q: str, i: int, t: str, j: int, most: int) -> int:
+    """Length of the common prefix of ``q[i:]`` and ``t[j:]``, up to ``most``."""
+    n = min(len(q) - i, len(t) - j, most)
+    at, step = 0, 16
+    while at < n and q[i + at : i + at + step] == t[j + at : j + at + step]:
         at += step
         step = min(2 * step, 1 << 16)
-    return n
+    while at < n and q[i + at] == t[j + at]:
+        half = max(1, step >> 1)
+        while half > 1 and q[i + at : i + at + half] != t[j + at : j + at + half]:
+            half >>= 1
+        at += half
+    return min(at, n)
 
 
-def _extend(q: np.ndarray, t: np.ndarray) -> tuple[int, int]:
+def _extend(q: str, t: str) -> tuple[int, int]:
     """How far ``q`` and ``t`` agree from their starts, over isolated changed, lost or added symbols."""
     i = j = 0
     while True:
-        r = _run(q[i:], t[j:])
+        r = _run(q, i, t, j, len(q))
         i, j = i + r, j + r
         if i >= len(q) or j >= len(t):
             return i, j
-        best, move = 0, None
+        best, move = 0, (0, 0)
         for di, dj in ((1, 1), (1, 0), (0, 1)):
-            m = _run(q[i + di : i + di + 24], t[j + dj : j + dj + 24])
+            m = _run(q, i + di, t, j + dj, 24)
             if m > best:
                 best, move = m, (di, dj)
         if best < RESUME:
@@ -328,16 +335,17 @@ def _extend(q: np.ndarray, t: np.ndarray) -> tuple[int, int]:
         i, j = i + move[0], j + move[1]
 
 
-def stretches(q: np.ndarray, t: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+def stretches(q: str, t: str, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """(item from, to, text from, to) of the longest stretches through seeds (item offset, text position)."""
     out: list[tuple[int, int, int, int]] = []
     near: list[tuple[int, int, int, int]] = []  # those that reach beyond the current seed
+    reach = 2 * len(q) + 64  # every added symbol is followed by RESUME that agree
     for a, p in sorted(seeds, key=lambda s: (s[1], s[0])):
         near = [s for s in near if s[3] > p]
         if any(x <= a < y and u <= p and abs((p - a) - (u - x)) <= BAND for x, y, u, v in near):
             continue
-        fi, fj = _extend(q[a:], t[p:])
-        bi, bj = _extend(q[:a][::-1], t[:p][::-1])
+        fi, fj = _extend(q[a:], t[p : p + reach])
+        bi, bj = _extend(q[:a][::-1], t[max(0, p - reach) : p][::-1])
         near.append((a - bi, a + fi, p - bj, p + fj))
         out.append(near[-1])
     return out
@@ -396,11 +404,15 @@ class Shard:
         pick = np.flatnonzero(hot)
         pick = pick[np.lexsort((offset[pick], pos[pick], item[pick], doc[pick]))]
         heads = np.flatnonzero(np.diff(doc[pick], prepend=-1).astype(bool) | np.diff(item[pick], prepend=-1).astype(bool)).tolist()
+        queries: dict[int, str] = {}
+        last, text = -1, ""
         for a, b in zip(heads, heads[1:] + [len(pick)]):
             d, i = int(doc[pick[a]]), int(item[pick[a]])
-            q = items.symbols[i]
+            if d != last:  # pairs come by document
+                last, text = d, as_text(whole[d])
+            q = queries.get(i) or queries.setdefault(i, as_text(items.symbols[i]))
             seeds = list(zip(offset[pick[a:b]].tolist(), pos[pick[a:b]].tolist()))
-            for x, y, u, v in stretches(q, whole[d], seeds):
+            for x, y, u, v in stretches(q, text, seeds):
                 if (y - x) >= MIN_SHARE * len(q):
                     found.add((d, i, u, v))
         return found
