@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import ratio
 
 
 def repair_pattern(pattern: str) -> str:
@@ -77,16 +76,28 @@ def clean_speaker(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"(?U)^\s+|\s+$", "")
 
 
-def candidate_quality(sentence: Column, span: Column) -> Column:
-    """Additive quality of a candidate: length, terminator, grounding, share of the span, no Latin, no digits."""
-    n = F.length(sentence)
+#: Words of grammar explanations, signs of formulas and quotations, and words of everyday sentences.
+EXPLAINING = (
+    "表示", "可以", "不能", "一般", "通常", "用于", "用在", "结构", "特点", "小提示", "语义", "用法", "前边", "后边", "成分", "主语", "谓语", "宾语",
+    "定语", "状语", "补语", "动词", "形容词", "名词", "词语", "句中", "句末", "疑问句", "肯定形式", "否定形式",
+)
+FORMULA = ("“", "”", "(", ")", "（", "）", "+", "=", ":", "：")
+EVERYDAY = ("我", "你", "他", "她", "我们", "他们", "老师", "学生", "妈妈", "爸爸", "小王")
+
+
+def candidate_quality(sentence: Column, span: Column, has_clue: Column | None = None) -> Column:
+    """Additive quality of a candidate: length, no explanation, no formula, a page clue, a short span, everyday words."""
+    s, n = F.coalesce(sentence, F.lit("")), F.length(F.coalesce(sentence, F.lit("")))
+    any_of = lambda words: s.rlike("|".join(re.escape(w) for w in words))
+    clue = F.lit(False) if has_clue is None else F.coalesce(has_clue, F.lit(False))
+    points = lambda cond, k: F.when(cond, k).otherwise(0)
     return (
-        F.when(n.between(10, 40), 2.0).when(n.between(6, 85), 1.0).otherwise(0.0)
-        + F.when(sentence.rlike(r"[。！？]\z"), 1.0).otherwise(0.0)
-        + F.when(sentence.contains(span), 2.0).otherwise(0.0)
-        + F.when(ratio(F.length(span), n).between(0.1, 0.8), 1.0).otherwise(0.0)
-        + F.when(sentence.rlike("[A-Za-z]"), 0.0).otherwise(0.5)
-        + F.when(sentence.rlike("[0-9]"), 0.0).otherwise(0.5)
+        F.when(n.between(8, 42), 5).when(n <= 65, 2).otherwise(0)
+        + points(any_of(EXPLAINING), -5)
+        + points(any_of(FORMULA), -2)
+        + points(clue, 1)
+        + points(F.length(F.coalesce(span, F.lit(""))).between(1, 16), 1)
+        + points(any_of(EVERYDAY), 2)
     )
 
 

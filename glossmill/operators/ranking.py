@@ -30,14 +30,15 @@ def budget_size(n: Column, share: float) -> Column:
     return F.greatest(F.lit(1), F.bround(n.cast("double") * F.lit(float(share)), 0).cast("int"))
 
 
-def group_rank(df: DataFrame, keys: list[str], order: list[Column], ranges: int = 64) -> DataFrame:
+def group_rank(df: DataFrame, keys: list[str], order: list[Column], ranges: int | None = None) -> DataFrame:
     """Adds ``rank`` and ``group_rows`` within each key, without one task ever holding a whole group.
 
     Rows are range-partitioned by (keys, order) and written once, so that the ranges stay what they are; rows are
-    counted per range and key, and ranked within their range on top of the counts of the ranges before.
+    counted per range and key, and ranked within their range on top of the counts of the ranges before.  Without
+    ``ranges`` the shuffle's own number counts, which adaptive execution fits to the size of the data.
     ``order`` has to end in a unique column.
     """
-    ranged = materialize(df.repartitionByRange(ranges, *[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id()), "ranked")
+    ranged = materialize(df.repartitionByRange(*([ranges] if ranges else []), *[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id()), "ranked")
     counts = ranged.groupBy("_p", *keys).agg(F.count(F.lit(1)).alias("_c"))
     by_key = W.partitionBy(*keys)
     before = by_key.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)

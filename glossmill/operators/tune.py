@@ -17,11 +17,11 @@ from glossmill.operators.metrics import union_label_metrics
 CLIP = 1e-4
 #: The grid of vote weights of the rerank.
 ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
-#: The grid of rule weights (accept, weak, strong) and thresholds.
+#: The grid of weights of the rule states (accept, weak, strong) and of thresholds.
 GRID = {
-    "w_accept": (0.0, 0.25, 0.5, 1.0, 1.5, 2.0, 3.0),
-    "w_weak": (0.0, 0.25, 0.5, 1.0, 1.5, 2.0),
-    "w_strong": (0.0, 0.5, 1.0, 2.0, 3.0, 4.0),
+    "w_accept": (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0),
+    "w_weak": (-3.0, -2.0, -1.5, -1.0, -0.5, 0.0),
+    "w_strong": (-6.0, -4.0, -3.0, -2.0, -1.0, 0.0),
     "threshold": (-1.0, -0.5, 0.0, 0.5, 1.0),
 }
 
@@ -35,7 +35,7 @@ def rule_reliability(df: DataFrame, rule: str, correct: str) -> DataFrame:
     """(rule, support, hits, posterior, grade, weight) from rows of fired rules on the training split."""
     agg = df.groupBy(F.col(rule).alias("rule")).agg(F.count(F.lit(1)).alias("support"), F.sum(F.col(correct).cast("long")).alias("hits"))
     post = (F.col("hits") + 1.0) / (F.col("support") + 2.0)
-    a, b, d = (F.col("support") >= 20) & (post >= 0.8), (F.col("support") >= 5) & (post >= 0.65), (F.col("support") >= 5) & (post < 0.5)
+    a, b, d = (F.col("support") >= 20) & (post >= 0.8), (F.col("support") >= 5) & (post >= 0.65), post < 0.5
     grade = F.when(a, "A").when(b, "B").when(d, "D").otherwise("insufficient")
     weight = F.when(a, post).when(b, 0.65 * post).when(d, 0.0).otherwise(0.15)
     return agg.select("rule", "support", "hits", F.round(post, 6).alias("posterior"), grade.alias("grade"), F.round(weight, 6).alias("weight"))
@@ -84,7 +84,7 @@ def governor_grid(df: DataFrame, keys: list[str], positive_gold: str = "gold_pos
         F.sum(F.col(positive_gold).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
     x = reduced.crossJoin(F.broadcast(weight_grid(df.sparkSession)))
-    z = F.col("margin") + F.col("w_accept") * F.col("accepted") - F.col("w_weak") * F.col("weak") - F.col("w_strong") * F.col("strong")
+    z = F.col("margin") + F.col("w_accept") * F.col("accepted") + F.col("w_weak") * F.col("weak") + F.col("w_strong") * F.col("strong")
     yes = z >= F.col("threshold")
     pick = lambda c, v: F.sum(F.when(c, v).otherwise(F.lit(0)))
     neg = F.col("n") - F.col("pos")
@@ -97,8 +97,8 @@ def governor_grid(df: DataFrame, keys: list[str], positive_gold: str = "gold_pos
 
 
 def best_grid_point(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Highest macro-F1, then accuracy, then smallest sum of weights, then smallest weights in order."""
-    size = F.col("w_accept") + F.col("w_weak") + F.col("w_strong")
+    """Highest macro-F1, then accuracy, then smallest sum of sizes of weights and threshold, then smallest ones in order."""
+    size = F.abs("w_accept") + F.abs("w_weak") + F.abs("w_strong") + F.abs("threshold")
     order = F.struct((-F.col("macro_f1")).alias("a"), (-F.col("accuracy")).alias("b"), size.alias("c"), "w_accept", "w_weak", "w_strong", "threshold")
     best = scores.groupBy(*keys).agg(F.min(F.struct(order.alias("o"), F.struct("grid", *GRID, "macro_f1", "accuracy").alias("v"))).alias("m"))
     return best.select(*keys, "m.v.*")

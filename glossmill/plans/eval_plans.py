@@ -285,8 +285,8 @@ _VOTES = f"""{SQL_FACTS}, v AS (SELECT row_id, {sql_split(SQL_GROUP_KEY)} AS spl
     unnest(['grounded=' || coalesce(grounded, -1), 'cues=' || coalesce(cues, -1), 'model=' || coalesce(model, '')]) AS rule FROM facts WHERE gold IS NOT NULL),
     rel0 AS (SELECT rule, count(*) AS support, sum(correct) AS hits, (sum(correct) + 1.0::DOUBLE) / (count(*) + 2.0::DOUBLE) AS post FROM v WHERE split = 'train' GROUP BY 1),
     rel AS (SELECT rule, support, hits::BIGINT AS hits, round(post, 6) AS posterior,
-        CASE WHEN support >= 20 AND post >= 0.8 THEN 'A' WHEN support >= 5 AND post >= 0.65 THEN 'B' WHEN support >= 5 AND post < 0.5 THEN 'D' ELSE 'insufficient' END AS grade,
-        round(CASE WHEN support >= 20 AND post >= 0.8 THEN post WHEN support >= 5 AND post >= 0.65 THEN 0.65 * post WHEN support >= 5 AND post < 0.5 THEN 0.0 ELSE 0.15 END, 6) AS weight FROM rel0)"""
+        CASE WHEN support >= 20 AND post >= 0.8 THEN 'A' WHEN support >= 5 AND post >= 0.65 THEN 'B' WHEN post < 0.5 THEN 'D' ELSE 'insufficient' END AS grade,
+        round(CASE WHEN support >= 20 AND post >= 0.8 THEN post WHEN support >= 5 AND post >= 0.65 THEN 0.65 * post WHEN post < 0.5 THEN 0.0 ELSE 0.15 END, 6) AS weight FROM rel0)"""
 _GRID = "[" + ", ".join("{" + f"'grid': {i}, " + ", ".join(f"'{k}': {float(x)}::DOUBLE" for k, x in zip(tune.GRID, combo)) + "}" for i, combo in enumerate(product(*tune.GRID.values()))) + "]"
 
 QUERIES = {
@@ -361,8 +361,8 @@ ORACLES = {
     "governor_grid_best": f"""WITH {SQL_FACTS}, g AS (SELECT round(ln(least(0.9999, greatest(0.0001, confidence)) / (1 - least(0.9999, greatest(0.0001, confidence)))) * CASE WHEN prediction = '支持' THEN 1 ELSE -1 END, 3) AS margin,
         (grounded = 1 AND cues = 1)::INT AS accepted, (grounded = 0 AND cues = 1)::INT AS weak, (cues = 0)::INT AS strong, gold = '支持' AS y FROM facts WHERE gold IS NOT NULL AND confidence IS NOT NULL),
         r AS (SELECT margin, accepted, weak, strong, count(*) FILTER (y)::DOUBLE AS pos, count(*) FILTER (NOT y)::DOUBLE AS neg FROM g GROUP BY 1, 2, 3, 4), w AS (SELECT unnest({_GRID}, recursive := true)),
-        x AS (SELECT *, margin + w_accept * accepted - w_weak * weak - w_strong * strong >= threshold AS yes FROM r, w),
+        x AS (SELECT *, margin + w_accept * accepted + w_weak * weak + w_strong * strong >= threshold AS yes FROM r, w),
         c AS (SELECT grid, w_accept, w_weak, w_strong, threshold, sum(CASE WHEN yes THEN pos ELSE 0 END) AS tp, sum(CASE WHEN yes THEN neg ELSE 0 END) AS fp, sum(CASE WHEN yes THEN 0 ELSE pos END) AS fn, sum(CASE WHEN yes THEN 0 ELSE neg END) AS tn FROM x GROUP BY ALL),
         s AS (SELECT *, round((coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0)) / 2, 6) AS macro_f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c)
-        SELECT grid, w_accept, w_weak, w_strong, threshold, macro_f1, accuracy FROM s ORDER BY macro_f1 DESC, accuracy DESC, w_accept + w_weak + w_strong, w_accept, w_weak, w_strong, threshold LIMIT 1""",
+        SELECT grid, w_accept, w_weak, w_strong, threshold, macro_f1, accuracy FROM s ORDER BY macro_f1 DESC, accuracy DESC, abs(w_accept) + abs(w_weak) + abs(w_strong) + abs(threshold), w_accept, w_weak, w_strong, threshold LIMIT 1""",
 }

@@ -29,9 +29,8 @@ def first_matching_family(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_quality(spark, d):
-    c = base.candidates(spark, d).where(F.col("sentence").isNotNull() & F.col("span").isNotNull())
-    q = patterns.candidate_quality(F.col("sentence"), F.col("span"))
-    return c.select("row_id", F.round(q, 2).alias("quality"))
+    c = base.candidates(spark, d)
+    return c.select("row_id", patterns.candidate_quality(F.col("sentence"), F.col("span")).alias("quality"))
 
 
 def cleaned_sentences(spark, d):
@@ -61,7 +60,9 @@ def demo_selection(spark, d):
     points = c.select("label", "family").distinct()
     own = best.select("label", "construction", "row_id", F.lit(0).alias("tier"))
     near = points.join(fam, "family").select("label", "construction", F.col("rid").alias("row_id"), F.lit(1).alias("tier"))
-    pool = own.unionByName(near).groupBy("label", "construction", "row_id").agg(F.min("tier").alias("tier"))
+    other = c.withColumn("r", F.row_number().over(W.partitionBy("construction").orderBy("row_id"))).where("r <= 4").select(F.col("row_id").alias("rid"), "construction")
+    anywhere = points.select("label").distinct().crossJoin(F.broadcast(other)).select("label", "construction", F.col("rid").alias("row_id"), F.lit(2).alias("tier"))
+    pool = own.unionByName(near).unionByName(anywhere).groupBy("label", "construction", "row_id").agg(F.min("tier").alias("tier"))
     w = W.partitionBy("label", "construction").orderBy("tier", "row_id")
     return pool.withColumn("place", F.row_number().over(w)).where("place <= 2").select("label", "construction", "row_id", "tier", "place")
 
@@ -155,21 +156,28 @@ QUERIES = {
     )
 }
 
+_words = base._sql_list
+_COUNTED = """, again AS (SELECT system, round(sum(CASE WHEN gold = prediction THEN 1 ELSE 0 END) / count(*)::DOUBLE, 6) AS recomputed FROM systems GROUP BY 1)
+    SELECT system, accuracy AS reported, recomputed, (abs(accuracy - recomputed) <= 5e-7)::INT AS equal FROM metrics JOIN again USING (system)"""
+
 ORACLES = {
     "first_matching_family": rf"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[。！？\n]')) AS s FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, {_LAD} AS family FROM s WHERE s <> '')
         SELECT family, count(*) AS n_sentences, count(DISTINCT doc_id) AS n_docs FROM f WHERE family IS NOT NULL GROUP BY 1""",
-    "candidate_quality": f"""WITH {SQL_CANDIDATES} SELECT row_id, round(CASE WHEN length(sentence) BETWEEN 10 AND 40 THEN 2.0 WHEN length(sentence) BETWEEN 6 AND 85 THEN 1.0 ELSE 0.0 END + CASE WHEN regexp_matches(sentence, '[。！？]$') THEN 1.0 ELSE 0.0 END
-        + CASE WHEN contains(sentence, span) THEN 2.0 ELSE 0.0 END + CASE WHEN coalesce(length(span) / nullif(length(sentence), 0)::DOUBLE, 0) BETWEEN 0.1 AND 0.8 THEN 1.0 ELSE 0.0 END
-        + CASE WHEN regexp_matches(sentence, '[A-Za-z]') THEN 0.0 ELSE 0.5 END + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 0.0 ELSE 0.5 END, 2)::DOUBLE AS quality FROM cand WHERE sentence IS NOT NULL AND span IS NOT NULL""",
+    "candidate_quality": f"""WITH {SQL_CANDIDATES}, c AS (SELECT row_id, coalesce(sentence, '') AS s, coalesce(span, '') AS p FROM cand)
+        SELECT row_id, (CASE WHEN length(s) BETWEEN 8 AND 42 THEN 5 WHEN length(s) <= 65 THEN 2 ELSE 0 END
+            - CASE WHEN len(list_filter({_words(patterns.EXPLAINING)}, lambda w: contains(s, w))) > 0 THEN 5 ELSE 0 END - CASE WHEN len(list_filter({_words(patterns.FORMULA)}, lambda w: contains(s, w))) > 0 THEN 2 ELSE 0 END
+            + CASE WHEN length(p) BETWEEN 1 AND 16 THEN 1 ELSE 0 END + CASE WHEN len(list_filter({_words(patterns.EVERYDAY)}, lambda w: contains(s, w))) > 0 THEN 2 ELSE 0 END)::INT AS quality FROM c""",
     "cleaned_sentences": r"""WITH a AS (SELECT row_id, sentence AS s, regexp_replace(sentence, '^[\s\p{Z}\x{0085}·*•\-—#>（(【“]+', '') AS t FROM author_written_244 WHERE sentence IS NOT NULL),
         b AS (SELECT row_id, s, regexp_replace(t, '^[\p{L}]{1,4}[：:](.)', '\1') AS t FROM a)
         SELECT row_id, md5(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g')) AS clean_md5,
             md5(CASE WHEN contains(s, '：') AND length(string_split(s, '：')[1]) BETWEEN 1 AND 32 THEN string_split(s, '：')[1] ELSE s END) AS head_md5 FROM b""",
-    "recompute_compare": f"WITH {SQL_SYSTEMS}, {sql_metrics('systems', ['system'])} SELECT system, accuracy AS reported, accuracy AS recomputed, 1 AS equal FROM metrics",
+    "recompute_compare": f"WITH {SQL_SYSTEMS}, {sql_metrics('systems', ['system'])} {_COUNTED}",
     "demo_selection": f"""WITH {SQL_CANDIDATES}, c AS (SELECT row_id, label, family, construction FROM cand WHERE sentence IS NOT NULL AND gold IS NOT NULL),
         o AS (SELECT label, construction, row_id, 0 AS tier FROM (SELECT *, row_number() OVER (PARTITION BY label, construction ORDER BY row_id) AS r FROM c) WHERE r <= 2),
         f AS (SELECT family, construction, row_id FROM (SELECT *, row_number() OVER (PARTITION BY family, construction ORDER BY row_id) AS r FROM c WHERE family <> '') WHERE r <= 4),
-        u AS (SELECT label, construction, row_id, min(tier) AS tier FROM (SELECT * FROM o UNION ALL SELECT p.label, f.construction, f.row_id, 1 FROM (SELECT DISTINCT label, family FROM c) p JOIN f USING (family)) GROUP BY 1, 2, 3)
+        a AS (SELECT construction, row_id FROM (SELECT *, row_number() OVER (PARTITION BY construction ORDER BY row_id) AS r FROM c) WHERE r <= 4),
+        u AS (SELECT label, construction, row_id, min(tier) AS tier FROM (SELECT * FROM o UNION ALL SELECT p.label, f.construction, f.row_id, 1 FROM (SELECT DISTINCT label, family FROM c) p JOIN f USING (family)
+            UNION ALL SELECT p.label, a.construction, a.row_id, 2 FROM (SELECT DISTINCT label FROM c) p, a) GROUP BY 1, 2, 3)
         SELECT label, construction, row_id, tier::INT AS tier, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY label, construction ORDER BY tier, row_id) AS place FROM u) WHERE place <= 2""",
     "confidence_forms": f"""WITH {SQL_FACTS}, m AS (SELECT model, confidence AS c, confidence * 4 - 2 AS m FROM facts WHERE confidence IS NOT NULL)
         SELECT model, round(avg(1 / (1 + exp(-abs(m)))), 5) AS binary, round(avg(1 / (exp(m - greatest(m, 0, -m)) + exp(0 - greatest(m, 0, -m)) + exp(-m - greatest(m, 0, -m)))), 5) AS softmax,

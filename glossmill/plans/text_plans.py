@@ -295,7 +295,7 @@ QUERIES = {
 ORACLES = {
     "group_ids_dups": f"SELECT substr(sha1({_sq('sentence')}), 1, 16) AS group_id, count(*) AS n_rows FROM author_written_244 GROUP BY 1 HAVING count(*) > 1",
     "dup_group_sizes": f"SELECT size, count(*) AS n_groups FROM (SELECT sha1({_sq('text')}) AS g, count(*) AS size FROM documents GROUP BY 1) GROUP BY 1",
-    "split_overlap_check": f"WITH {SQL_FACTS}, k AS (SELECT {base.SQL_GROUP_KEY} AS gkey FROM facts), s AS (SELECT gkey, {sql_split('gkey')} AS split FROM k) SELECT split, count(*) AS n_rows, count(DISTINCT gkey) AS n_groups, 0::BIGINT AS overlap FROM s GROUP BY 1",
+    "split_overlap_check": f"WITH {SQL_FACTS}, k AS (SELECT {base.SQL_GROUP_KEY} AS gkey FROM facts), s AS (SELECT gkey, {sql_split('gkey')} AS split FROM k) SELECT split, count(*) AS n_rows, count(DISTINCT gkey) AS n_groups, (SELECT count(*) FROM (SELECT gkey FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS overlap FROM s GROUP BY 1",
     "text_forms": f"""SELECT row_id, md5({_sq('sentence')}) AS squeezed, md5(coalesce({_BARE('sentence')}, '')) AS bare, md5(translate(coalesce(sentence, ''), '０１２３４５６７８９', '0123456789')) AS ascii_digits,
         {_UID.format(p='U-', x="coalesce(item_id, '') || chr(31) || coalesce(label, '')")} AS unit_id FROM author_written_244""",
     "sentence_split": f"""WITH s AS (SELECT doc_id, {_TRIM('u')} AS s FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([。！？；;])', '\\1' || chr(10), 'g'), chr(10))) AS u FROM documents WHERE text IS NOT NULL))
