@@ -142,18 +142,28 @@ def monotone_pages(spark, d):
 _STAGE = {"SRC-HB-ELEM": "初等", "SRC-HB-INTER": "中等", "SRC-HB-ADV": "高等"}
 
 
+_LEVEL_SIGNS = "一二三四五六"
+
+
 def _scored(spark, d):
+    """Points with their keywords, the first of them as full label, and their printed id, against handbook texts."""
     a = table(spark, d, "standard_handbook_alignment_v3").where(F.col("matched_source_derived_keywords").isNotNull())
     stage = F.create_map(*[F.lit(x) for kv in _STAGE.items() for x in kv])
-    cue = F.explode(F.split("matched_source_derived_keywords", r"[；;，,、|/\s]+")).alias("cue")
-    cues = a.select(F.col("standard_point_id").alias("point"), stage[F.col("handbook_source_id")].alias("source"), cue).withColumn("weight", F.lit(2.0) + F.least(F.length("cue"), F.lit(4)))
-    points = align.best_cues(cues, ["point", "source"])
+    base_ = a.select(F.col("standard_point_id").alias("point"), stage[F.col("handbook_source_id")].alias("source"), F.posexplode(F.split("matched_source_derived_keywords", r"[；;，,、|/\s]+")).alias("i", "cue"))
+    n = F.least(F.length("cue"), F.lit(10))
+    cues = base_.withColumn("weight", F.when(F.col("i") == 0, 25.0).otherwise(4.0 + n * 1.15)).withColumn("origin", F.when(F.col("i") == 0, "grammar_full").otherwise("grammar_component"))
+    level, ordinal = F.regexp_extract("standard_point_id", "^STD-([1-6])-", 1), F.regexp_extract("standard_point_id", "([0-9]{1,3})$", 1).cast("int")
+    ids = a.where(level != "").select(
+        F.col("standard_point_id").alias("point"), stage[F.col("handbook_source_id")].alias("source"),
+        F.concat(F.element_at(F.array(*[F.lit(x) for x in _LEVEL_SIGNS]), level.cast("int")), ordinal.cast("string")).alias("cue"), F.lit(0.0).alias("weight"), F.lit("official_id").alias("origin"),
+    )
+    points = align.best_cues(cues.drop("i"), ["point", "source"]).unionByName(ids)
     pages = table(spark, d, "documents").where(F.col("source").startswith("handbook") & F.col("text").isNotNull() & F.col("level_label").isNotNull())
-    return align.page_scores(points, align.cue_hits(pages, points, "doc_id", "text", "level_label"))
+    return align.page_scores(points, align.evidence(points, pages, "doc_id", "text", "level_label"))
 
 
 def page_align_top1(spark, d):
-    return align.top_page(_scored(spark, d))
+    return align.top_page(_scored(spark, d)).select("point", "source", "page_id", "score", "margin")
 
 
 def page_align_classes(spark, d):
@@ -274,13 +284,25 @@ _TESTS = """b AS (SELECT grammar_point_id, substr(canonical_label, 1, 2) AS lite
     r AS (SELECT grammar_point_id, literal, grammar_point_id || '-' || lpad(i::VARCHAR, 2, '0') AS test_id, c AS "case", CASE WHEN t = '' THEN 'uncertain' WHEN regexp_matches(t, '例句|语法点') THEN 'other_construction'
         WHEN contains(t, '※') THEN 'semantic_incompatible' WHEN contains(t, '近似') AND NOT contains(t, literal) THEN 'confusable' WHEN NOT contains(t, literal) THEN 'other_construction'
         WHEN length(t) < length(literal) + 2 THEN 'missing_slot' WHEN length(t) > 50 THEN 'boundary' ELSE 'positive' END AS actual FROM c)"""
-_SCORED = f"""cu AS (SELECT DISTINCT standard_point_id AS point, CASE handbook_source_id {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _STAGE.items())} END AS source, raw, {_BARE('raw')} AS cue
-    FROM (SELECT *, unnest(regexp_split_to_array(matched_source_derived_keywords, '[；;，,、|/\\s]+')) AS raw FROM standard_handbook_alignment_v3)),
-    pt AS (SELECT point, source, cue, max(2.0 + least(length(raw), 4)) AS w FROM cu WHERE cue <> '' GROUP BY 1, 2, 3),
-    pg AS (SELECT doc_id, level_label, {_BARE('text')} AS t FROM documents WHERE source LIKE 'handbook%' AND text IS NOT NULL AND level_label IS NOT NULL),
-    hit AS (SELECT level_label AS source, doc_id AS page_id, cue FROM pg, (SELECT DISTINCT cue FROM pt) WHERE contains(t, cue)),
-    sc AS (SELECT point, source, page_id, count(*) AS n_cues, round(greatest(0.0, least(38.0, sum(w)) + CASE WHEN count(*) >= 3 THEN 9.0 WHEN count(*) = 2 THEN 1.5 ELSE 0.0 END), 3)::DOUBLE AS score FROM pt JOIN hit USING (source, cue) GROUP BY 1, 2, 3),
-    tp AS (SELECT point, source, page_id, score, round(score - coalesce(lead(score) OVER w, 0.0), 3) AS margin, row_number() OVER w AS r FROM sc WINDOW w AS (PARTITION BY point ORDER BY score DESC, page_id))"""
+_HAS = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+_SCORED = rf"""src AS (SELECT *, CASE handbook_source_id {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _STAGE.items())} END AS stage FROM standard_handbook_alignment_v3 WHERE matched_source_derived_keywords IS NOT NULL),
+    cu0 AS (SELECT standard_point_id AS point, stage AS source, unnest(ks) AS raw, unnest(range(len(ks))) AS i FROM (SELECT *, regexp_split_to_array(matched_source_derived_keywords, '[；;，,、|/\s]+') AS ks FROM src)),
+    cu AS (SELECT point, source, {_BARE('raw')} AS cue, CASE WHEN i = 0 THEN 25.0 ELSE 4.0 + least(length(raw), 10) * 1.15 END::DOUBLE AS w, CASE WHEN i = 0 THEN 'grammar_full' ELSE 'grammar_component' END AS origin FROM cu0),
+    pt AS (SELECT point, source, cue, max(w) AS w, arg_max(origin, w) AS origin FROM cu WHERE cue <> '' GROUP BY 1, 2, 3
+        UNION ALL SELECT standard_point_id, stage, '{_LEVEL_SIGNS}'[level::INT] || num::INT, 0.0, 'official_id' FROM (SELECT *, regexp_extract(standard_point_id, '^STD-([1-6])-', 1) AS level, regexp_extract(standard_point_id, '([0-9]{{1,3}})$', 1) AS num FROM src) WHERE level <> ''),
+    pg AS (SELECT doc_id, level_label AS source, {_BARE('text')} AS t, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_BARE('x')}), lambda x: regexp_matches(x, '{align.HEADING}')) AS heads,
+        {_HAS('text', align.CONTENT)} AS content, {_HAS(_BARE('text'), align.NAVIGATION)} AS nav FROM documents WHERE source LIKE 'handbook%' AND text IS NOT NULL AND level_label IS NOT NULL),
+    idp AS (SELECT DISTINCT doc_id, source, content, nav, x[1] || regexp_replace(x[2:], '^0+(.)', '\1') AS cue FROM (SELECT *, unnest(regexp_extract_all(t, '([一二三四五六][0-9]{{1,3}})(?:[^0-9]|$)', 1)) AS x FROM pg)),
+    hit AS (SELECT source, doc_id AS page_id, cue, content, nav, length(cue) >= 2 AND (len(list_filter(heads, lambda x: contains(x, cue) AND length(x) <= length(cue) + 24)) > 0
+            OR contains(substr(t, strpos(t, cue), length(cue) + 100), '{align.DESCRIPTION}')) AS head, false AS printed FROM pg, (SELECT DISTINCT cue FROM pt WHERE origin <> 'official_id') WHERE contains(t, cue)
+        UNION ALL SELECT source, doc_id, cue, content, nav, false, true FROM idp),
+    j AS (SELECT pt.*, page_id, content, nav, head, length(pt.cue) AS n, origin = 'official_id' AS is_id FROM pt JOIN hit ON hit.source = pt.source AND hit.cue = pt.cue AND hit.printed = (pt.origin = 'official_id')),
+    ag AS (SELECT point, source, page_id, bool_or(content) AS content, bool_or(nav) AS nav, bool_or(is_id) AS printed, max(CASE WHEN origin = 'grammar_full' THEN n END) AS fl, max(CASE WHEN head AND NOT is_id THEN n END) AS lh,
+        least(38.0::DOUBLE, sum(CASE WHEN is_id OR origin = 'grammar_full' THEN 0.0 WHEN n = 1 THEN least(w, 1.0) WHEN n = 2 THEN least(w, 5.0) ELSE w END)) AS parts, coalesce(bool_or(n >= 2) FILTER (NOT is_id), false) AS sub,
+        count(*) FILTER (NOT is_id) AS n_label, count(*) FILTER (NOT is_id AND n >= 2) AS n_long FROM j GROUP BY 1, 2, 3),
+    s0 AS (SELECT *, CASE WHEN content THEN 2.0 ELSE 0.0 END - CASE WHEN nav AND NOT content THEN 80.0 ELSE 0.0 END + CASE WHEN printed THEN 48.0 ELSE 0.0 END + CASE WHEN fl IS NULL THEN 0.0 ELSE 22.0 + least(fl, 18) * 0.7::DOUBLE END + parts + CASE WHEN lh IS NULL THEN 0.0 ELSE 42.0 + least(lh, 15) * 1.2::DOUBLE END AS s FROM ag),
+    sc AS (SELECT *, round(greatest(0.0, CASE WHEN NOT printed AND lh IS NULL AND NOT sub THEN least(s, 3.0) ELSE s END), 3)::DOUBLE AS score FROM s0),
+    tp AS (SELECT *, round(score - coalesce(lead(score) OVER w, 0.0), 3) AS margin, row_number() OVER w AS r FROM sc WINDOW w AS (PARTITION BY point ORDER BY score DESC, page_id))"""
 _PREFIX = ", ".join(f"count(*) FILTER (regexp_matches(w, '{p}')) AS {k}" for k, p in (("local_path", "/home/|/Users/"), ("secret", "sk-[A-Za-z0-9]{8}"), ("replacement_char", "�"), ("level_a", "tier.: .A."), ("handwave", "标注员认为")))
 
 QUERIES = {
@@ -329,9 +351,11 @@ ORACLES = {
     "ocr_range_anchor": """SELECT standard_point_id, source, page FROM (SELECT standard_point_id, handbook_source_id AS source, try_cast(primary_page AS INT) AS page FROM standard_handbook_alignment_v3) a
         JOIN (VALUES ('SRC-HB-ELEM', 20, 220), ('SRC-HB-INTER', 40, 380), ('SRC-HB-ADV', 1, 400)) r(s, lo, hi) ON s = source AND page BETWEEN lo AND hi""",
     "page_align_top1": f"WITH {_SCORED} SELECT point, source, page_id, score, margin::DOUBLE AS margin FROM tp WHERE r = 1",
-    "page_align_classes": f"""WITH {_SCORED}, c AS (SELECT CASE WHEN score >= 30 THEN 'section_cue' WHEN score >= 12 AND margin >= 1 THEN 'page_lexical' WHEN score >= 8 THEN 'weak_lexical' ELSE 'low_evidence' END AS method,
-        CASE WHEN score >= 12 AND margin >= 1 THEN 'aligned' ELSE 'needs_review' END AS status, CASE WHEN score >= 30 AND margin >= 3 THEN 'high' WHEN score >= 12 AND margin >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM tp WHERE r = 1)
-        SELECT method, status, confidence, count(*) AS n_points FROM c GROUP BY 1, 2, 3""",
+    "page_align_classes": f"""WITH {_SCORED}, c AS (SELECT CASE WHEN printed AND (lh IS NOT NULL OR n_label > 0) THEN 'printed_id_plus_lexical|aligned|high' WHEN printed AND n_long >= 2 AND score >= 30 THEN 'printed_id_plus_taxonomy|aligned|medium'
+            WHEN lh IS NOT NULL AND score >= 55 THEN 'handbook_heading_lexical|aligned|high' WHEN lh IS NOT NULL THEN 'handbook_heading_lexical|aligned|medium' WHEN fl IS NOT NULL AND n_long > 0 AND score >= 30 THEN 'full_label_lexical|aligned|medium'
+            WHEN fl IS NOT NULL AND n_long > 0 THEN 'full_label_lexical|low_confidence|low' WHEN n_long >= 2 AND score >= 25 THEN 'multi_cue_lexical|aligned|medium' WHEN n_long > 0 AND score >= 12 THEN 'single_cue_lexical|low_confidence|low'
+            WHEN n_long > 0 AND score >= 8 THEN 'taxonomy_lexical|low_confidence|low' ELSE 'best_available_page_local_evidence|low_confidence|low' END AS k FROM tp WHERE r = 1)
+        SELECT split_part(k, '|', 1) AS method, split_part(k, '|', 2) AS status, split_part(k, '|', 3) AS confidence, count(*) AS n_points FROM c GROUP BY k""",
     "dominant_offset": """WITH p AS (SELECT handbook_source_id, try_cast(nullif(regexp_extract(candidate_pages, '[0-9]+', 0), '') AS INT) - try_cast(primary_page AS INT) AS o FROM standard_handbook_alignment_v3),
         c AS (SELECT handbook_source_id, o, count(*) AS n FROM p WHERE o IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY handbook_source_id ORDER BY n DESC, o) AS k FROM c)
         SELECT handbook_source_id, o AS "offset", n FROM r WHERE k = 1""",
