@@ -47,16 +47,26 @@ def labelled_form(c: Column | str) -> Column:
     return F.when(many, ordered).otherwise(without_formatting(c))
 
 
-_CELL, _NULL = "\u0001", "\u0002"
+_CELL, _NULL, _ESCAPE = "\u0001", "\u0002", "\u0003"
 
 
 def _cell(c: Column) -> Column:
-    """A cell as text without the two signs that mark cell ends and nulls."""
+    """A loosely compared cell as text, without the signs that mark cell ends and nulls: they are formatting."""
     s = c.cast("string")
     plain = F.when(s.contains(_CELL) | s.contains(_NULL), F.translate(s, _CELL + _NULL, "")).otherwise(s)
     return F.coalesce(plain, F.lit(_NULL))
 
 
+def _exact_cell(c: Column) -> Column:
+    """An exactly compared cell as text, with those signs escaped."""
+    s = c.cast("string")
+    escaped = s
+    for sign, letter in ((_ESCAPE, "c"), (_CELL, "a"), (_NULL, "b")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(_ESCAPE + letter))
+    special = s.contains(_CELL) | s.contains(_NULL) | s.contains(_ESCAPE)
+    return F.coalesce(F.when(special, escaped).otherwise(s), F.lit(_NULL))
+
+
 def canonical(df: DataFrame, loose: list[str], exact: list[str], labelled: list[str]) -> Column:
     """One canonical text per record from loosely, exactly and field-wise compared columns.
 
@@ -66,7 +76,7 @@ def canonical(df: DataFrame, loose: list[str], exact: list[str], labelled: list[
     if loose:
         joined = F.concat_ws(_CELL, *[_cell(F.col(c)) for c in loose])
         parts.append(F.lower(F.regexp_replace(joined, r"[^\p{L}\p{N}\x01\x02]+", "")))
-    parts += [_cell(F.col(c)) for c in exact] + [F.coalesce(labelled_form(F.col(c)), F.lit(_NULL)) for c in labelled]
+    parts += [_exact_cell(F.col(c)) for c in exact] + [F.coalesce(labelled_form(F.col(c)), F.lit(_NULL)) for c in labelled]
     return F.concat_ws(_CELL, *parts)
 
 

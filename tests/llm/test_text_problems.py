@@ -132,6 +132,13 @@ def test_hash_collisions_are_resolved(spark):
     assert duplicates.surplus_copies(p.limit(0)).count() == 0
 
 
+def test_exact_columns_keep_control_signs(spark):
+    rows = [(1, "a", "x\x01y"), (2, "A.", "xy"), (3, "a", "x\x01y"), (4, "a", "x\x02y"), (5, "a", "x\x03ay"), (6, "a", None)]
+    df = spark.createDataFrame(rows, "row_id long, loose string, exact string")
+    got = {tuple(r)[1:] for r in duplicates.surplus_copies(duplicates.fingerprints(df, "t", loose=["loose"], exact=["exact"])).collect()}
+    assert got == {(1, 3)}
+
+
 # --- 5: look-alikes --------------------------------------------------------------------------------------------------
 
 
