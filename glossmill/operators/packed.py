@@ -122,7 +122,6 @@ def atoms(fields: DataFrame) -> DataFrame:
     return (
         fields.withColumn("tokens", tokens)
         .withColumn("atoms", F.filter(paired, lambda a: a["value"] != ""))
-        .where(F.size("atoms") > 0)
         .select("table_name", "field_name", "row_key", "atoms")
     )
 
@@ -195,7 +194,8 @@ def joined_readings(scanned: DataFrame) -> DataFrame:
 
 def split_packed(fields: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(table_name, field_name, row_key, pos, item) from the output of ``packed_fields``."""
-    scanned = materialize(atoms(fields).withColumn("fid", F.monotonically_increasing_id()), "packed-atoms")
+    # fields without atoms go only after the write: a filter before it would scan every field once for each of its atoms
+    scanned = materialize(atoms(fields).withColumn("fid", F.monotonically_increasing_id()), "packed-atoms").where(F.size("atoms") > 0)
     arcs = materialize(joined_readings(scanned), "packed-arcs")
     lattices = scanned.join(arcs.groupBy("fid").agg(F.collect_list(F.struct("start", "stop", "value")).alias("arcs")), "fid")
     lattices = materialize(lattices.select("fid", *KEYS, "atoms", "arcs"), "packed-lattices")
