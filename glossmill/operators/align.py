@@ -45,7 +45,9 @@ def cue_hits(pages: DataFrame, cues: DataFrame, page_id: str, text: str, source:
     compact = pages.select(F.col(source).alias("source"), F.col(page_id).alias("page_id"), compacted(F.col(text)).alias("compact"))
     if len(found) <= CUE_LIMIT:
         table = F.array(*[F.lit(r["cue"]) for r in found]) if found else F.array().cast("array<string>")
-        return compact.select("source", "page_id", F.explode(F.filter(table, lambda c: F.col("compact").contains(c))).alias("cue"))
+        # bound to a variable, so that the page is made compact once and not again for every cue
+        here = F.element_at(F.transform(F.array("compact"), lambda t: F.filter(table, lambda c: t.contains(c))), 1)
+        return compact.select("source", "page_id", F.explode(here).alias("cue"))
     lengths = [r["n"] for r in words.select(F.length("cue").alias("n")).distinct().collect()]
     grams = compact.select(
         "source", "page_id", F.explode(F.array_distinct(F.flatten(F.array(*[char_ngrams(F.col("compact"), n) for n in lengths])))).alias("cue")
@@ -127,8 +129,11 @@ def page_scores(points: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def top_page(scored: DataFrame) -> DataFrame:
-    """The best page of every point with ``margin``, ties to the smaller page; a missing second counts 0."""
-    best = top_with_margin(scored, ["point"], "score", [F.desc("score"), F.asc("page_id")])
+    """The best page of every point with ``margin``, ties to the smaller page; a missing second counts 0.
+
+    The cues are left out, so that they aren't gathered for every page of a point.
+    """
+    best = top_with_margin(scored.drop("cues", "n_cues"), ["point"], "score", [F.desc("score"), F.asc("page_id")])
     return best.withColumn("margin", F.round("margin", 3))
 
 

@@ -163,7 +163,7 @@ def _scored(spark, d):
 
 
 def page_align_top1(spark, d):
-    return align.top_page(_scored(spark, d)).select("point", "source", "page_id", "score", "margin")
+    return align.top_page(_scored(spark, d).select("point", "source", "page_id", "score"))
 
 
 def page_align_classes(spark, d):
