@@ -69,16 +69,16 @@ def page_facts(pages: DataFrame, page_id: str, text: str, source: str) -> DataFr
 
 
 def evidence(points: DataFrame, pages: DataFrame, page_id: str, text: str, source: str) -> DataFrame:
-    """(source, page_id, cue, heading, content, navigation): hits of cues on pages and of printed ids, which are points'
-    cues of origin ``official_id``; ``heading`` where a short heading line holds the cue, or the description marker follows."""
+    """(source, page_id, cue, printed, heading, content, navigation): hits of cues on pages and, ``printed``, of printed ids,
+    which are points' cues of origin ``official_id``; ``heading`` where a short heading line holds the cue, or the description marker follows."""
     facts = page_facts(pages, page_id, text, source)
     plain = points.where(F.col("origin") != "official_id")
     seen = cue_hits(pages, plain, page_id, text, source).join(facts, ["source", "page_id"])
     n = F.length("cue")
     after = F.substring(F.col("compact"), F.expr("locate(cue, compact)"), n + 100)
     heading = (n >= 2) & (F.exists("headings", lambda x: x.contains(F.col("cue")) & (F.length(x) <= n + 24)) | after.contains(DESCRIPTION))
-    printed = facts.select("source", "page_id", F.explode("ids").alias("cue"), F.lit(False).alias("heading"), "content", "navigation")
-    return seen.select("source", "page_id", "cue", heading.alias("heading"), "content", "navigation").unionByName(
+    printed = facts.select("source", "page_id", F.explode("ids").alias("cue"), F.lit(True).alias("printed"), F.lit(False).alias("heading"), "content", "navigation")
+    return seen.select("source", "page_id", "cue", F.lit(False).alias("printed"), heading.alias("heading"), "content", "navigation").unionByName(
         printed.join(points.where(F.col("origin") == "official_id").select("source", "cue").distinct(), ["source", "cue"], "left_semi")
     )
 
@@ -97,6 +97,8 @@ def page_scores(points: DataFrame, hits: DataFrame) -> DataFrame:
         if c not in hits.columns:
             hits = hits.withColumn(c, F.lit(False))
     j = points.join(hits, ["source", "cue"])
+    if "printed" in hits.columns:
+        j = j.where(F.col("printed") == (F.col("origin") == "official_id"))
     n, w, origin = F.length("cue"), F.col("weight"), F.col("origin")
     is_id, full = origin == "official_id", origin == "grammar_full"
     label = origin.isin("grammar_full", "canonical", "grammar_component")

@@ -13,6 +13,9 @@ from pyspark.sql import Window as W
 from glossmill.functions.text import ratio
 from glossmill.session import materialize
 
+#: Pages kept for a point, the least score and the share of the best score that count as near.
+PAGES, PAGE_FLOOR, PAGE_NEAR = 8, 8.0, 0.62
+
 
 def majority_label(df: DataFrame, keys: list[str], label: str, ordinal: str) -> DataFrame:
     """(keys, majority): the most frequent label; ties go to the one met first by ``ordinal``."""
@@ -129,7 +132,7 @@ def global_rank(df: DataFrame, order_key: str, item: str, ranges: int = 64) -> D
     return group_rank(df.withColumn("_all", F.lit(1)), ["_all"], [F.asc(order_key), F.asc(item)], ranges).drop("_all", "group_rows")
 
 
-def greedy_pages(scored: DataFrame, keys: list[str], limit: int = 8, floor: float = 8.0, near: float = 0.62) -> DataFrame:
+def greedy_pages(scored: DataFrame, keys: list[str], limit: int = PAGES, floor: float = PAGE_FLOOR, near: float = PAGE_NEAR) -> DataFrame:
     """(keys, pages): walk pages by falling score; keep one that is near the best or covers a new keyword.
 
     ``scored`` holds page, score and words (array); at most ``limit`` pages are kept per key.  Of pages with the same

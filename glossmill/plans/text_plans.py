@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
-from glossmill.operators import align, compiler, features, govern, ranking
+from glossmill.operators import align, compiler, features, govern, page_search, ranking
 from glossmill.plans import base
 from glossmill.plans.base import SQL_CANDIDATES, SQL_FACTS, sql_split
 from glossmill.session import new_path, table
@@ -145,8 +145,8 @@ _STAGE = {"SRC-HB-ELEM": "初等", "SRC-HB-INTER": "中等", "SRC-HB-ADV": "高
 _LEVEL_SIGNS = "一二三四五六"
 
 
-def _scored(spark, d):
-    """Points with their keywords, the first of them as full label, and their printed id, against handbook texts."""
+def _evidence(spark, d):
+    """Points with their keywords, the first of them as full label, and their printed id; their hits in handbook texts."""
     a = table(spark, d, "standard_handbook_alignment_v3").where(F.col("matched_source_derived_keywords").isNotNull())
     stage = F.create_map(*[F.lit(x) for kv in _STAGE.items() for x in kv])
     base_ = a.select(F.col("standard_point_id").alias("point"), stage[F.col("handbook_source_id")].alias("source"), F.posexplode(F.split("matched_source_derived_keywords", r"[；;，,、|/\s]+")).alias("i", "cue"))
@@ -159,7 +159,12 @@ def _scored(spark, d):
     )
     points = align.best_cues(cues.drop("i"), ["point", "source"]).unionByName(ids)
     pages = table(spark, d, "documents").where(F.col("source").startswith("handbook") & F.col("text").isNotNull() & F.col("level_label").isNotNull())
-    return align.page_scores(points, align.evidence(points, pages, "doc_id", "text", "level_label"))
+    return points, align.evidence(points, pages, "doc_id", "text", "level_label")
+
+
+def _scored(spark, d):
+    """The scored pages of each point that a greedy choice can keep."""
+    return page_search.best_pages(*_evidence(spark, d), ranking.PAGES, (ranking.PAGE_FLOOR, ranking.PAGE_NEAR))
 
 
 def page_align_top1(spark, d):
