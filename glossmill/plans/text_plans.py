@@ -172,7 +172,7 @@ def page_align_top1(spark, d):
 
 
 def page_align_classes(spark, d):
-    c = align.classify(align.top_page(_scored(spark, d)))
+    c = align.classify(align.top_page(page_search.best_pages(*_evidence(spark, d))))
     return c.groupBy("method", "status", "confidence").agg(F.count(F.lit(1)).alias("n_points"))
 
 

@@ -46,3 +46,10 @@ def test_greedy_choice_without_all_pairs(spark, scores):
     assert set(map(repr, collected(pairs))) <= set(map(repr, collected(scores)))
     if page_search.CELLS > 300:
         assert pairs.groupBy("point").count().agg(F.max("count")).first()[0] <= 8 + 6 < scores.groupBy("point").count().agg(F.max("count")).first()[0]
+
+
+def test_classes_without_all_pairs(spark, scores, monkeypatch):
+    c = align.classify(align.top_page(scores)).groupBy("method", "status", "confidence").agg(F.count(F.lit(1)).alias("n_points"))
+    want = collected(c)
+    monkeypatch.setattr(align, "page_scores", None)
+    assert collected(text_plans.page_align_classes(spark, "")) == want and len(want) >= 3
