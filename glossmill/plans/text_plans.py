@@ -168,7 +168,8 @@ def _scored(spark, d):
 
 
 def page_align_top1(spark, d):
-    return align.top_page(_scored(spark, d).select("point", "source", "page_id", "score"))
+    best = page_search.best_pages(*_evidence(spark, d))
+    return align.top_page(best.select("point", "source", "page_id", "score"))
 
 
 def page_align_classes(spark, d):

@@ -53,3 +53,9 @@ def test_classes_without_all_pairs(spark, scores, monkeypatch):
     want = collected(c)
     monkeypatch.setattr(align, "page_scores", None)
     assert collected(text_plans.page_align_classes(spark, "")) == want and len(want) >= 3
+
+
+def test_top_page_without_all_pairs(spark, scores, monkeypatch):
+    want = collected(align.top_page(scores.select("point", "source", "page_id", "score")))
+    monkeypatch.setattr(align, "page_scores", None)
+    assert collected(text_plans.page_align_top1(spark, "")) == want and len(want) > 50
